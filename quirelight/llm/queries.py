@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import interleave, mixing, simhash
 
 QUERIES = {
+    "op7_mixing": mixing.op7,
+    "op8_interleave": interleave.op8,
     "op10_simhash": simhash.op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_mixing": mixing.OP7_SQL,
+    "op8_interleave": interleave.OP8_SQL,
+}
