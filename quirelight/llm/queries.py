@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import interleave, mixing, simhash
+from . import chat, decontam, interleave, mixing, simhash
 
 QUERIES = {
+    "op3_decontam": decontam.op3,
+    "op4_chat": chat.op4,
     "op7_mixing": mixing.op7,
     "op8_interleave": interleave.op8,
     "op10_simhash": simhash.op10,
 }
 
 SQL: dict[str, str] = {
+    "op3_decontam": decontam.OP3_SQL,
+    "op4_chat": chat.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_interleave": interleave.OP8_SQL,
 }
