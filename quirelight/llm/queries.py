@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, interleave, mixing, simhash
+from . import chat, decontam, interleave, mixing, simhash, warc
 
 QUERIES = {
     "op3_decontam": decontam.op3,
     "op4_chat": chat.op4,
     "op7_mixing": mixing.op7,
     "op8_interleave": interleave.op8,
+    "op9_warc": warc.op9,
     "op10_simhash": simhash.op10,
 }
 
@@ -17,4 +18,5 @@ SQL: dict[str, str] = {
     "op4_chat": chat.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_interleave": interleave.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
