@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, interleave, mixing, simhash, warc
+from . import chat, decontam, html, interleave, mixing, simhash, warc
 
 QUERIES = {
     "op3_decontam": decontam.op3,
     "op4_chat": chat.op4,
+    "op6_html": html.op6,
     "op7_mixing": mixing.op7,
     "op8_interleave": interleave.op8,
     "op9_warc": warc.op9,
