@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html, interleave, mixing, simhash, toxicity, warc
+from . import chat, decontam, html, interleave, langid, mixing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_langid": langid.op2,
     "op3_decontam": decontam.op3,
     "op4_chat": chat.op4,
     "op6_html": html.op6,
