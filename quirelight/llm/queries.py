@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html, interleave, langid, mixing, simhash, toxicity, warc
+from . import chat, decontam, html, interleave, langid, mixing, pjpeg, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_langid": langid.op2,
     "op3_decontam": decontam.op3,
     "op4_chat": chat.op4,
+    "op5_pjpeg": pjpeg.op5,
     "op6_html": html.op6,
     "op7_mixing": mixing.op7,
     "op8_interleave": interleave.op8,
