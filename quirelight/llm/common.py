@@ -12,6 +12,21 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def remembered(f, most: int = 4096):
+    """f with its latest results kept by arguments. Unlike functools' caches it travels to workers by value."""
+    kept: dict = {}
+
+    def call(*args):
+        if args not in kept:
+            if len(kept) >= most:
+                kept.clear()
+            kept[args] = f(*args)
+        return kept[args]
+
+    call.__doc__ = f.__doc__
+    return call
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,6 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from math import isqrt
 
 import numpy as np
@@ -33,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import remembered, table
 
 BATCH_BYTES = 1 << 20
 RESTART = 8
@@ -67,6 +66,7 @@ _LENGTHS = {r << 4 | s: 11 for r in range(16) for s in range(11)} | {0x00: 5, 0x
 AC_TABLE = canonical(_LENGTHS)
 
 
+@remembered
 def lookup(spec: bytes) -> np.ndarray:
     """For each 16 bits that a code may start, its length * 256 + its symbol; 0 where there is no code."""
     out = np.zeros(1 << 16, np.int64)
@@ -90,7 +90,7 @@ def geometry(blocks: int) -> tuple[int, int]:
     return columns, -(-units // columns)
 
 
-@lru_cache(maxsize=4096)
+@remembered
 def interleaved(columns: int, rows: int, sampling: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Blocks in the order of an interleaved scan, numbered component after component, and their components."""
     out, comp, base = [], [], 0
@@ -377,7 +377,7 @@ class Image:
         self.blocks = sum(r * c for r, c in self.shapes)
 
 
-@lru_cache(maxsize=4096)
+@remembered
 def _own_blocks(sampling: tuple, c: int, columns: int, rows: int, width: int, height: int) -> np.ndarray:
     """Blocks of a component in the order of a scan of its own: those that hold pixels."""
     hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
@@ -585,7 +585,7 @@ def decode_batch(files: list[bytes]) -> tuple[list[Image], np.ndarray, np.ndarra
         for dc in (True, False):
             luts: dict[bytes, int] = {}
             st = Streams(images, bases, lambda i: [s for s in i.scans if s[3] == ah and (s[1] == 0) == dc], luts)
-            tables = np.stack([lookup_cached(s) for s in luts]) if luts else np.zeros((1, 1 << 16), np.int64)
+            tables = np.stack([lookup(s) for s in luts]) if luts else np.zeros((1, 1 << 16), np.int64)
             if dc:
                 _decode_dc_refine(st, coef) if ah else _decode_dc_first(st, tables, coef)
             else:
@@ -593,9 +593,6 @@ def decode_batch(files: list[bytes]) -> tuple[list[Image], np.ndarray, np.ndarra
     return images, coef, bases
 
 
-lookup_cached = lru_cache(maxsize=64)(lookup)
-
-
 def stored_payload(image: Image, coef: np.ndarray) -> bytes:
     """The bytes that encode_batch() put into a file."""
     m = re.fullmatch(rb"payload-bytes (\d+)", image.comment)
@@ -604,7 +601,7 @@ def stored_payload(image: Image, coef: np.ndarray) -> bytes:
     return (coef.reshape(-1)[: int(m[1])] + 128).astype(np.uint8).tobytes()
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _inverse() -> np.ndarray:
     """Zigzag coefficients to pixels, times 2 ** SCALE, in whole numbers: sums are exact in any order."""
     x, u = np.arange(8)[:, None], np.arange(8)[None]
