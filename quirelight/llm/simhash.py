@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -134,6 +134,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return made.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---------------------------------------------------------------- wide fingerprints, for similarity thresholds
+
+#: Bits of a wide fingerprint: products of two of the 64 signs of a shingle's hash.
+PAIRS = np.triu_indices(64, 1)
+WIDE = len(PAIRS[0])
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[int, bytes]:
+    """A 64-bit SimHash and one of 2016 bits, of the distinct shingles of a whole text.
+
+    Bit (a, b) of the wide one is the sign of the sum, over shingles, of the product of bits a and b of the hash as
+    signs; the products are pairwise independent, and one matrix product finds all sums. Ties take the sign of the
+    shingle with the smallest hash. Texts without words have zeros.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, bytes(WIDE // 8)
+    joined = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(x, seed) for x in joined), dtype="<u8", count=len(joined))
+    total, gram = np.zeros(64, np.float64), np.zeros((64, 64), np.float64)
+    for at in range(0, len(h), 1 << 13):
+        signs = np.unpackbits(h[at : at + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+        signs *= 2
+        signs -= 1
+        total += signs.sum(0)
+        gram += signs.T @ signs
+    least = np.unpackbits(h.min().reshape(1).view(np.uint8), bitorder="little") * 1.0 - 0.5
+    small = np.packbits(total + least > 0, bitorder="little").view("<i8")[0]
+    return int(small), np.packbits(gram[PAIRS] + least[PAIRS[0]] * least[PAIRS[1]] > 0, bitorder="little").tobytes()
+
+
+def bits_apart(similarity: float) -> float:
+    """Share of bits in which SimHashes of two sets of shingles with this Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def key_bits(rows: int) -> int:
+    """Bits of a block such that a block holds less than one fingerprint by chance."""
+    return min(28, max(16, (4 * max(rows, 1) - 1).bit_length()))
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) between nodes whose word shingles are about as similar or more, and membership (row, node).
+
+    docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. The wide fingerprint is
+    cut into blocks of key_bits() bits and nodes are joined on them: at a similarity of 0.8 two nodes agree in 85 % of
+    their bits and share one of 100 blocks of 20 bits with a probability of 0.98. What meets in a block is held to a
+    Hamming distance of 64 bits first, then of all 2016, which tells the similarity to about 0.01. Blocks of more than
+    ``bucket`` nodes are never paired out: all nodes are compared to the block's leader, those that aren't linked to it
+    form the block anew, until few are left. Leaders differ from block to block.
+    """
+
+    @F.pandas_udf("struct<fp: bigint, wide: binary>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            yield pd.DataFrame([wide_fingerprint(t) for t in s], columns=["fp", "wide"])
+
+    made = materialise(docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.wide"), "wide-fingerprints")
+    nodes = materialise(made.groupBy("wide").agg(F.min("row").alias("node"), F.min("fp").alias("fp")), "wide-nodes")
+    members = made.join(nodes.select("wide", "node"), "wide").select("row", "node")
+    width = key_bits(nodes.count())
+    tables = min(100, WIDE // width)
+    apart = bits_apart(similarity)
+    near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
+    near = int(WIDE * apart + 1.5 * (WIDE * apart * (1 - apart)) ** 0.5)
+
+    hexed = F.hex("wide")
+    digits = -(-width // 4) + 1
+
+    def key(t: int) -> Column:
+        """Bits t * width on, as a number; bytes hold their first bit lowest, so any window of bits serves alike."""
+        at = t * width
+        part = F.conv(F.substring("hexed", at // 4 + 1, digits), 16, 10).cast("long")
+        return F.shiftright(part, 4 * digits - width - at % 4).bitwiseAND(F.lit((1 << width) - 1))
+
+    keyed = nodes.select("node", "fp", hexed.alias("hexed")).select("node", "fp", F.posexplode(F.array(*(key(t) for t in range(tables)))).alias("t", "key"))
+    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    open_ = materialise(keyed.join(counts, ["t", "key"]).select("t", "key", "node", "fp", "n"), "wide-blocks")
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= near64
+    found = []
+    for i in range(rounds):
+        small = open_.where(F.col("n") <= bucket)
+        mate = small.select("t", "key", F.col("node").alias("v"), F.col("fp").alias("other"))
+        pairs = small.join(mate, ["t", "key"]).where("node < v").where(close).select(F.col("node").alias("u"), "v")
+        found.append(materialise(pairs.distinct(), "wide-pairs"))
+        large = open_.where(F.col("n") > bucket)
+        if large.isEmpty():
+            break
+        lead = large.groupBy("t", "key").agg(F.min_by(F.struct("node", "fp"), F.xxhash64("t", "node")).alias("lead"))
+        large = large.join(lead, ["t", "key"]).select("t", "key", "node", "fp", F.col("lead.node").alias("u"), F.col("lead.fp").alias("other"))
+        large = materialise(large.withColumn("linked", close), "wide-large")
+        found.append(materialise(large.where("linked and node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "wide-pairs"))
+        rest = large.where("not linked").select("t", "key", "node", "fp")
+        again = rest.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+        open_ = materialise(rest.join(again, ["t", "key"]).select("t", "key", "node", "fp", "n"), "wide-blocks")
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.unionByName(more)
+    candidates = materialise(candidates.distinct(), "wide-candidates")
+    longs = F.transform(F.sequence(F.lit(0), F.lit(WIDE // 32 - 1)), lambda i: F.conv(F.substr(hexed, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    words = nodes.select("node", longs.alias("words"))
+    both = candidates.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
+    distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(distance <= near).select("u", "v"), members
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates left: that with the smallest id, then the smallest row hash.
+
+    A group is a component over links of similar_links(). Null ids come last; of rows equal in all columns one is left.
+    """
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64(*(F.col(c) for c in docs.columns)))
+    rows = materialise(keyed.groupBy(row).agg(F.min(id_col).alias("id"), F.count("*").alias("copies")), "simhash-rows")
+    texts = keyed.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    links, members = similar_links(texts, similarity)
+    roots = components(links)
+    members = materialise(members.distinct(), "simhash-members")
+    grouped = members.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root")).join(rows.select(F.col(row).alias("row"), "id"), "row")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    kept = grouped.groupBy("root").agg(F.min_by("row", order).alias(row)).select(row)
+    repeated = rows.where("copies > 1").select(row)
+    out = keyed.join(kept, row, "left_semi")
+    if repeated.isEmpty():
+        return out.drop(row)
+    twice = out.join(repeated, row, "left_semi").dropDuplicates([row])
+    return out.join(repeated, row, "left_anti").unionByName(twice).drop(row)
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
