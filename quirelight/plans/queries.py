@@ -186,7 +186,9 @@ def _body_lines(spark: SparkSession, d: str) -> DataFrame:
 def paragraphs_query(spark: SparkSession, d: str) -> DataFrame:
     lines = _body_lines(spark, d)
     limits = stats.calibrated_threshold(stats.line_length_histogram(lines))
-    return paragraphs.paragraphs(paragraphs.paragraph_lines(lines, limits)).where("text <> ''").select("volume_id", F.col("para").cast("int").alias("para"), "first_pos", "last_pos", "level", "text")
+    found = paragraphs.paragraphs(paragraphs.paragraph_lines(lines, limits)).where("text <> ''")
+    nth = F.row_number().over(W.partitionBy("volume_id").orderBy("para"))
+    return found.select("volume_id", nth.alias("para"), "first_pos", "last_pos", "level", "text")
 
 
 def dehyphenated_text(spark: SparkSession, d: str) -> DataFrame:
