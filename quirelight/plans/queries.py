@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import doubt, notes, pagination, paragraphs, running, stats, structure
+from ..operators import characters, doubt, evaluate, layout, notes, pagination, paragraphs, running, stats, structure, translate
 from . import scan
+from .reflow import Reflow
 
 PAGE = ["volume_id", "pos"]
 
@@ -286,10 +287,111 @@ def toc_confidence(spark: SparkSession, d: str) -> DataFrame:
     return structure.toc_confidence(lines, structure.toc_entries(lines))
 
 
+# ---------------------------------------------------------------- measured pages
+
+
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    """The page view measured: lines by turns in a left and a right column, notes in smaller type."""
+    rows = scan.page_lines(spark, d)
+    side, row = F.col("ln") % 2, F.floor(F.col("ln") / 2)
+    x0 = 50.0 + 170.0 * side + F.when(F.col("ln") % 7 == 0, 10.0).otherwise(0.0)
+    size = F.when(F.col("line").rlike(r"^[0-9]{1,3}\)"), 9.0).otherwise(11.0)
+    baseline = 40.0 + 12.0 * row + 0.5 * side
+    return rows.select("volume_id", "pos", F.col("ln").alias("frag"), F.col("line").alias("text"), x0.alias("x0"), (baseline - 9.0).alias("y0"), (x0 + 2.0 * F.length("line")).alias("x1"), (baseline + 2.0).alias("y1"), baseline.alias("baseline"), size.alias("size"), F.lit(400.0).alias("width"), F.lit(30000.0).alias("height"))
+
+
+def body_size(spark: SparkSession, d: str) -> DataFrame:
+    return layout.body_size(fragments(spark, d)).join(layout.page_width(fragments(spark, d)), "volume_id")
+
+
+def printed_lines(spark: SparkSession, d: str) -> DataFrame:
+    return layout.printed_lines(layout.clustered(fragments(spark, d))).select(*PAGE, "ln", "line", "size", "indent", "wide_gap")
+
+
+def gutters(spark: SparkSession, d: str) -> DataFrame:
+    return layout.gutter(fragments(spark, d))
+
+
+def edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    return layout.edge_lines(fragments(spark, d)).select(*PAGE, "edge", "text", F.round("height", 6).alias("height"))
+
+
+def indent_breaks(spark: SparkSession, d: str) -> DataFrame:
+    rows = fragments(spark, d).select(*PAGE, F.col("frag").alias("ln"), F.col("text").alias("line"), (F.col("x0") - 170.0 * (F.col("frag") % 2)).alias("indent"))
+    return layout.indent_breaks(rows).where("break_before").select(*PAGE, "ln")
+
+
+def small_type_notes(spark: SparkSession, d: str) -> DataFrame:
+    rows = fragments(spark, d)
+    sizes = layout.body_size(rows)
+    lines = rows.select(*PAGE, F.col("frag").alias("ln"), F.col("text").alias("line"), "size")
+    return layout.small_type_notes(lines, sizes).where("role = 'note'").select(*PAGE, "ln")
+
+
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = fragments(spark, d)
+    return layout.reading_order(rows, layout.gutter(rows))
+
+
+def folded_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the view that are rows of cells parted by bars, as Markdown tables."""
+    rows = scan.page_lines(spark, d).select(*PAGE, F.col("ln").alias("cluster"), F.posexplode(F.split("line", r" \| ")).alias("frag", "text"))
+    return layout.fold_tables(rows.withColumn("x0", 50.0 + 60.0 * F.col("frag"))).where("is_table").select(*PAGE, "ln", "line")
+
+
+def characters_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """The view with its ``th`` and ``fi`` partly broken, read again by the spelling of each volume."""
+    rows = scan.page_lines(spark, d)
+    broken = rows.withColumn("line", F.when(F.col("ln") % 4 == 0, F.regexp_replace("line", "st", "\uf001")).otherwise(F.concat("line", F.lit("\u00ad"))))
+    return characters.resolved(broken, characters.learned_glyphs(characters.glyph_votes(broken))).select(*PAGE, "ln", "line", "soft_hyphens", "zero_width", "dropped")
+
+
+def merged_references(spark: SparkSession, d: str) -> DataFrame:
+    """A reference list made of each volume's lines: every third line begins an entry."""
+    rows = scan.page_lines(spark, d).where("pos <= 3")
+    order = F.row_number().over(W.partitionBy("volume_id").orderBy("pos", "ln"))
+    rows = rows.withColumn("at", order)
+    line = F.when(F.col("at") == 5, "References").when((F.col("at") > 5) & (F.col("at") % 3 == 0), F.concat(F.lit("["), (F.col("at") / 3).cast("int").cast("string"), F.lit("] "), "line")).otherwise(F.col("line"))
+    rows = rows.select(*PAGE, "ln", line.alias("line"), F.lit(9.0).alias("size"))
+    return characters.merged_references(rows).where("is_entry").select(*PAGE, "ln", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+# ---------------------------------------------------------------- translation, rendering, evaluation
+
+
+def translation_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """Text with addresses and quotations fenced, on the first note of each page and its page's address."""
+    urls = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    made = F.concat(F.lit("[^1]: See „"), F.substring_index("url", "/", -1), F.lit("“ at "), "url", F.lit(", or [1]. [?FN:2|z] End"))
+    return urls.select("page_id", translate.prepare_translation(made).alias("text"))
+
+
+def reflow_text(spark: SparkSession, d: str) -> DataFrame:
+    return Reflow(scan.pages(spark, d), similar_heads=False).text()
+
+
+def reflow_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return Reflow(scan.pages(spark, d), similar_heads=False).markdown()
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    """What the view printed: notes, and what became of their markers."""
+    rows = scan.pages(spark, d).where("doc_id % 3 = 0")
+    n = F.lit(3) * (F.col("pos") % 2) + 1
+    rows = rows.select("volume_id", "doc_id", F.when(F.col("pos") % 17 == 0, F.col("pos") + 110).otherwise(F.col("pos") + 10).cast("string").alias("page"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.alias("i"), (n + i).cast("int").alias("num")))).alias("x"))
+    start = F.concat(F.lit("Note "), F.col("x.num").cast("string"), F.lit(" of document "), F.col("doc_id").cast("string"), F.lit("."))
+    return rows.select("volume_id", "page", F.col("x.num").alias("num"), start.alias("definition_starts"), F.lit(None).cast("string").alias("anchor_after"), F.when((F.col("doc_id") % 7 == 0) & (F.col("x.i") == 1), "marker_lost").otherwise("intact").alias("status"))
+
+
+def metrics_anchors(spark: SparkSession, d: str) -> DataFrame:
+    docs = evaluate.parsed(reflow_markdown(spark, d).withColumnRenamed("content", "text"))
+    return evaluate.anchor_rates(evaluate.anchor_status(docs, _truth(spark, d)))
+
+
 QUERIES = {
     name: f
     for name, f in [
-        *((f.__name__, f) for f in (page_lines, page_text_roundtrip, line_length_hist, calibrated_threshold, common_lengths, body_width, page_shapes, page_labels_detected, label_style_ordinal, headers_normalised, running_headers_exact, running_headers_similar, running_footers_exact, lines_without_headers, superscripts_normalised, region_headings, footnote_definitions, note_roles, marker_occurrences, unclaimed_notes, interior_gaps, glyph_candidates, glyph_evidence, candidate_scores, confidence_classes, annotated_paragraphs, decision_template, ocr_profile, dehyphenated_text, label_observations, label_breaks, offset_votes, boundary_candidates, catalogue_weight, plan_segments, page_verdict, rejected_observations, attested_share, page_modes, page_regions, toc_entries, toc_confidence)),
+        *((f.__name__, f) for f in (page_lines, page_text_roundtrip, line_length_hist, calibrated_threshold, common_lengths, body_width, page_shapes, page_labels_detected, label_style_ordinal, headers_normalised, running_headers_exact, running_headers_similar, running_footers_exact, lines_without_headers, superscripts_normalised, region_headings, footnote_definitions, note_roles, marker_occurrences, unclaimed_notes, interior_gaps, glyph_candidates, glyph_evidence, candidate_scores, confidence_classes, annotated_paragraphs, decision_template, ocr_profile, dehyphenated_text, label_observations, label_breaks, offset_votes, boundary_candidates, catalogue_weight, plan_segments, page_verdict, rejected_observations, attested_share, page_modes, page_regions, toc_entries, toc_confidence, body_size, printed_lines, gutters, edge_lines, indent_breaks, small_type_notes, reading_order, folded_tables, characters_resolved, merged_references, translation_prepared, reflow_text, reflow_markdown, metrics_anchors)),
         ("paragraphs", paragraphs_query),
     ]
 }

@@ -1 +1 @@
-"""Part of quirelight: sources."""
+"""Readers and writers: page text and JSON, archives, prepared text, clippings, DOCX, decisions, truth."""
