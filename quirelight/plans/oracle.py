@@ -157,6 +157,19 @@ toce AS (SELECT volume_id, page_no, ln, trim(concat_ws(' ', above, trim(regexp_e
 entries AS MATERIALIZED (SELECT volume_id, row_number() OVER (PARTITION BY volume_id ORDER BY page_no, ln)::INT AS ord, title, page, 1 AS level FROM toce WHERE title <> '')
 """
 
+FRAGMENTS = r"""
+frg AS MATERIALIZED (
+  SELECT volume_id, pos, ln AS frag, line AS text, (50.0 + 170.0 * (ln % 2) + CASE WHEN ln % 7 = 0 THEN 10.0 ELSE 0.0 END)::DOUBLE AS x0,
+         (50.0 + 170.0 * (ln % 2) + CASE WHEN ln % 7 = 0 THEN 10.0 ELSE 0.0 END + 2.0 * length(line))::DOUBLE AS x1, (40.0 + 12.0 * (ln // 2) + 0.5 * (ln % 2))::DOUBLE AS baseline,
+         CASE WHEN regexp_matches(line, '^[0-9]{1,3}\)') THEN 9.0 ELSE 11.0 END::DOUBLE AS size
+  FROM page_lines
+)
+"""
+#: The view counts on from 11 but for every 17th page: what is printed there is no part of any plan of two pages or more.
+ATTESTED = """
+att AS (SELECT e.volume_id, e.pos, coalesce(o.value - o.pos = 10, false) AS attested FROM ends e LEFT JOIN obs o ON o.volume_id = e.volume_id AND o.pos = e.pos AND o.source = 'printed-bottom')
+"""
+
 SQL: dict[str, str] = {
     "page_lines": q("SELECT volume_id, pos, ln, line FROM page_lines"),
     "page_text_roundtrip": q("SELECT volume_id, pos, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY ln)) AS text_md5 FROM page_lines GROUP BY ALL"),
@@ -234,4 +247,38 @@ SQL: dict[str, str] = {
         "en AS (SELECT volume_id, count(*) AS n, count(pb) AS steps, count(*) FILTER (page >= pb) AS up FROM up GROUP BY ALL)",
         "SELECT volume_id, round(coalesce(n, 0) / lines * CASE WHEN coalesce(steps, 0) > 0 THEN 0.5 + 0.5 * up / steps ELSE 1.0 END, 6)::DOUBLE AS confidence FROM (SELECT volume_id, count(*) AS lines FROM tocs GROUP BY ALL) LEFT JOIN en USING (volume_id)",
     ),
+    "body_size": q(FRAGMENTS, "SELECT volume_id, arg_max(size, w * 100 + size) AS size, 400.0::DOUBLE AS width FROM (SELECT volume_id, size, sum(length(text)) AS w FROM frg GROUP BY ALL) GROUP BY volume_id"),
+    "printed_lines": q(
+        FRAGMENTS,
+        "prw AS (SELECT *, (frag // 2)::INT AS cl FROM frg)",
+        "prs AS (SELECT volume_id, pos, cl, size, sum(length(text)) AS w FROM prw GROUP BY ALL)",
+        "SELECT a.volume_id, a.pos, a.cl AS ln, string_agg(a.text, ' ' ORDER BY a.x0) AS line, (SELECT arg_max(size, w * 100 + size) FROM prs s WHERE s.volume_id = a.volume_id AND s.pos = a.pos AND s.cl = a.cl) AS size, min(a.x0) AS indent, coalesce(max(CASE WHEN frag % 2 = 1 THEN x0 END) - max(CASE WHEN frag % 2 = 0 THEN x1 END) > 132, false) AS wide_gap FROM prw a GROUP BY ALL",
+    ),
+    "gutters": q(
+        FRAGMENTS,
+        "frq AS (SELECT * FROM frg WHERE trim(text) <> '')",
+        "evs AS (SELECT volume_id, x, sum(d) AS d FROM (SELECT volume_id, x0 AS x, 1 AS d FROM frq UNION ALL SELECT volume_id, x1, -1 FROM frq) GROUP BY ALL)",
+        "cov AS (SELECT e.volume_id, x, sum(d) OVER (PARTITION BY e.volume_id ORDER BY x) <= floor(n * 0.1) AS clear FROM evs e JOIN (SELECT volume_id, count(*) AS n FROM frq GROUP BY ALL) USING (volume_id))",
+        "bnd AS (SELECT *, lag(clear, 1, false) OVER (PARTITION BY volume_id ORDER BY x) AS before FROM cov)",
+        "zon AS (SELECT b.volume_id, b.x AS a, (SELECT min(x) FROM bnd c WHERE c.volume_id = b.volume_id AND c.x > b.x AND NOT c.clear) AS z FROM bnd b WHERE clear AND NOT before)",
+        "zok AS (SELECT * FROM zon WHERE z IS NOT NULL AND z - a >= 8 AND (a + z) / 2 BETWEEN 100 AND 300)",
+        "zsd AS (SELECT o.volume_id, a, z, (SELECT count(*) FROM frq f WHERE f.volume_id = o.volume_id) AS n, (SELECT count(*) FROM frq f WHERE f.volume_id = o.volume_id AND x1 <= a) AS l, (SELECT count(*) FROM frq f WHERE f.volume_id = o.volume_id AND x0 >= z) AS r, (SELECT max(c) FROM (SELECT pos, count(DISTINCT round_even(baseline, 0)) AS c FROM frq f WHERE f.volume_id = o.volume_id AND x1 <= a GROUP BY pos)) AS dl, (SELECT max(c) FROM (SELECT pos, count(DISTINCT round_even(baseline, 0)) AS c FROM frq f WHERE f.volume_id = o.volume_id AND x0 >= z GROUP BY pos)) AS dr FROM zok o)",
+        "SELECT volume_id, arg_min(a, (a - z) * 1000 + a) AS x0, arg_min(z, (a - z) * 1000 + a) AS x1 FROM zsd WHERE l >= 0.2 * n AND r >= 0.2 * n AND dl >= 10 AND dr >= 10 GROUP BY volume_id",
+    ),
+    "edge_lines": q(
+        FRAGMENTS,
+        "erw AS (SELECT volume_id, pos, frag // 2 AS cl, min(baseline) AS bl, trim(string_agg(text, ' ' ORDER BY x0)) AS line FROM frg WHERE trim(text) <> '' GROUP BY ALL)",
+        "eed AS (SELECT volume_id, pos, count(*) AS n, arg_min(line, bl) AS tl, min(bl) AS tb, arg_max(line, bl) AS bll, max(bl) AS bb FROM erw GROUP BY ALL)",
+        "SELECT volume_id, pos, CASE WHEN n = 1 AND tb / 30000 >= 0.5 THEN 'bottom' ELSE 'top' END AS edge, tl AS text, round(tb / 30000, 6) AS height FROM eed UNION ALL SELECT volume_id, pos, 'bottom', bll, round(bb / 30000, 6) FROM eed WHERE n > 1",
+    ),
+    "indent_breaks": q(
+        FRAGMENTS,
+        "ind AS (SELECT volume_id, pos, frag AS ln, text AS line, x0 - 170.0 * (frag % 2) AS x FROM frg)",
+        "ied AS (SELECT volume_id, pos, arg_max(e, n * 1000 - e) AS e, max(n) AS n FROM (SELECT volume_id, pos, round_even(x, 0) AS e, count(*) AS n FROM ind GROUP BY ALL) GROUP BY volume_id, pos)",
+        "ibr AS (SELECT i.*, e.e, coalesce(lag(rtrim(line) LIKE '%-') OVER (PARTITION BY i.volume_id, i.pos ORDER BY ln), false) AS broken FROM ind i JOIN ied e ON e.volume_id = i.volume_id AND e.pos = i.pos AND e.n >= 5)",
+        "SELECT volume_id, pos, ln FROM ibr WHERE x - e BETWEEN 4 AND 18 AND NOT broken",
+    ),
+    "small_type_notes": q(FRAGMENTS, "SELECT f.volume_id, f.pos, f.frag AS ln FROM frg f WHERE size = 9.0 AND EXISTS (SELECT 1 FROM frg g WHERE g.volume_id = f.volume_id AND g.pos = f.pos AND g.frag < f.frag AND g.size = 11.0)"),
+    "translation_prepared": "SELECT page_id, '[^1]: See <dnt>„' || list_last(string_split(url, '/')) || '“</dnt> at <dnt>' || url || '</dnt>, or [1]. End' AS text FROM pages",
+    "attested_share": q(LABELS, ATTESTED, "SELECT volume_id, count(*) AS pages, count(*) FILTER (attested) AS attested, round(count(*) FILTER (attested) / count(*), 6) AS share FROM att GROUP BY ALL"),
 }

@@ -10,6 +10,7 @@ from ..functions import labels, text
 from ..operators import characters, doubt, evaluate, layout, notes, pagination, paragraphs, running, stats, structure, translate
 from . import scan
 from .reflow import Reflow
+from .store import kept
 
 PAGE = ["volume_id", "pos"]
 
@@ -137,9 +138,9 @@ def glyph_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doubt(spark: SparkSession, d: str):
-    paras = _page_paragraphs(spark, d)
-    gaps = doubt.interior_gaps(paras)
-    found = doubt.glyph_candidates(gaps, doubt.confusion(spark))
+    paras = kept(_page_paragraphs(spark, d), "page-paragraphs")
+    gaps = kept(doubt.interior_gaps(paras), "gaps")
+    found = kept(doubt.glyph_candidates(gaps, doubt.confusion(spark)), "candidates")
     known = doubt.evidence(found)
     return paras, gaps, found, known, doubt.scored(found, known)
 
@@ -185,7 +186,7 @@ def _body_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paragraphs_query(spark: SparkSession, d: str) -> DataFrame:
-    lines = _body_lines(spark, d)
+    lines = kept(_body_lines(spark, d), "body-lines")
     limits = stats.calibrated_threshold(stats.line_length_histogram(lines))
     found = paragraphs.paragraphs(paragraphs.paragraph_lines(lines, limits)).where("text <> ''")
     nth = F.row_number().over(W.partitionBy("volume_id").orderBy("para"))
@@ -198,9 +199,8 @@ def dehyphenated_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _observations(spark: SparkSession, d: str):
-    lines = scan.page_lines(spark, d)
-    edges = pagination.edge_labels(lines)
-    return edges, pagination.printed_observations(edges)
+    edges = kept(pagination.edge_labels(scan.page_lines(spark, d)), "edges")
+    return edges, kept(pagination.printed_observations(edges), "observations")
 
 
 def label_observations(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +228,7 @@ def catalogue_weight(spark: SparkSession, d: str) -> DataFrame:
 def _plan(spark: SparkSession, d: str):
     edges, said = _observations(spark, d)
     pages = edges.select(*PAGE)
-    return said, pages, pagination.fit(said, pagination.boundary_candidates(edges, said), pages)
+    return said, pages, kept(pagination.fit(said, pagination.boundary_candidates(edges, said), pages), "plan")
 
 
 def plan_segments(spark: SparkSession, d: str) -> DataFrame:
