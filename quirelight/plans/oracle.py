@@ -170,6 +170,25 @@ ATTESTED = """
 att AS (SELECT e.volume_id, e.pos, coalesce(o.value - o.pos = 10, false) AS attested FROM ends e LEFT JOIN obs o ON o.volume_id = e.volume_id AND o.pos = e.pos AND o.source = 'printed-bottom')
 """
 
+SHAPES = r"""
+wid AS (SELECT volume_id, arg_min(len, (-n) * 1000000000000 + first) AS width FROM (SELECT volume_id, length(rtrim(line)) AS len, count(*) AS n, min(pos * 1000000 + ln) AS first FROM page_lines WHERE trim(line) <> '' GROUP BY ALL) GROUP BY volume_id),
+shp AS (SELECT volume_id, pos, count(*) AS n, count(*) FILTER (length(rtrim(line)) >= width * 0.7) AS long, count(*) FILTER (regexp_matches(line, '[0-9]{1,4}\s*$')) AS ending FROM page_lines JOIN wid USING (volume_id) WHERE trim(line) <> '' GROUP BY ALL),
+knd AS MATERIALIZED (SELECT volume_id, pos, n >= 5 AND long >= 0.5 * n AS prose, ending >= 4 AND ending >= 0.6 * n AS toc, row_number() OVER (PARTITION BY volume_id ORDER BY pos) AS nth, count(*) OVER (PARTITION BY volume_id) AS total FROM shp)
+"""
+#: Page by page; the view has no headings that would set a mode.
+MODES = """
+modes AS (
+  SELECT DISTINCT volume_id, 0::BIGINT AS nth, 0 AS pos, 'frontmatter' AS mode FROM knd
+  UNION ALL
+  SELECT k.volume_id, k.nth, k.pos, CASE WHEN toc AND (mode = 'frontmatter' OR k.nth - 1 < greatest(1, floor(total * 0.1))) THEN 'toc' WHEN mode IN ('frontmatter', 'toc') AND prose THEN 'main' ELSE mode END
+  FROM modes m JOIN knd k ON k.volume_id = m.volume_id AND k.nth = m.nth + 1
+)
+"""
+TEMPLATE = """
+tpl0 AS (SELECT *, row_number() OVER (PARTITION BY volume_id, para, num ORDER BY confidence DESC, "at") AS cand FROM scored),
+tpl AS (SELECT *, '[ ] p. ' || para || '  fn ' || num || '  cand ' || cand || '  ' || chr(39) || glyph || chr(39) || '  conf ' || printf('%.1f', confidence) || '  [seen ' || seen || 'x]  ctx: ' || context AS line FROM tpl0)
+"""
+
 SQL: dict[str, str] = {
     "page_lines": q("SELECT volume_id, pos, ln, line FROM page_lines"),
     "page_text_roundtrip": q("SELECT volume_id, pos, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY ln)) AS text_md5 FROM page_lines GROUP BY ALL"),
@@ -281,4 +300,39 @@ SQL: dict[str, str] = {
     "small_type_notes": q(FRAGMENTS, "SELECT f.volume_id, f.pos, f.frag AS ln FROM frg f WHERE size = 9.0 AND EXISTS (SELECT 1 FROM frg g WHERE g.volume_id = f.volume_id AND g.pos = f.pos AND g.frag < f.frag AND g.size = 11.0)"),
     "translation_prepared": "SELECT page_id, '[^1]: See <dnt>„' || list_last(string_split(url, '/')) || '“</dnt> at <dnt>' || url || '</dnt>, or [1]. End' AS text FROM pages",
     "attested_share": q(LABELS, ATTESTED, "SELECT volume_id, count(*) AS pages, count(*) FILTER (attested) AS attested, round(count(*) FILTER (attested) / count(*), 6) AS share FROM att GROUP BY ALL"),
+    "plan_segments": q(LABELS, ATTESTED, "SELECT volume_id, 1 AS start_pos, CASE WHEN count(*) FILTER (attested) >= 2 THEN 11 ELSE 1 END AS start_value, 'arabic' AS style, CASE WHEN count(*) FILTER (attested) >= 2 THEN 'counted' ELSE 'uncounted' END AS kind FROM att GROUP BY volume_id"),
+    "page_verdict": q(
+        LABELS, ATTESTED,
+        "vol AS (SELECT volume_id, min(pos) FILTER (attested) AS lo, max(pos) FILTER (attested) AS hi, count(*) FILTER (attested) AS marks FROM att GROUP BY volume_id)",
+        "near AS (SELECT a.volume_id, a.pos, min(abs(b.pos - a.pos)) AS distance FROM att a JOIN att b ON b.volume_id = a.volume_id AND b.attested GROUP BY ALL)",
+        "con AS (SELECT volume_id, pos, sum(weight) AS contra FROM obs WHERE value - pos <> 10 GROUP BY ALL)",
+        "said AS (SELECT a.*, lo, hi, marks, distance, coalesce(contra, 0.0) AS contra FROM att a JOIN vol USING (volume_id) LEFT JOIN near USING (volume_id, pos) LEFT JOIN con USING (volume_id, pos))",
+        "SELECT volume_id, pos, CASE WHEN marks >= 2 AND pos BETWEEN lo AND hi THEN (pos + 10)::VARCHAR END AS label, CASE WHEN marks >= 2 AND pos BETWEEN lo AND hi THEN CASE WHEN attested THEN 'printed' ELSE 'computed' END END AS label_source, CASE WHEN marks >= 2 AND pos BETWEEN lo AND hi THEN round(least(1.0::DOUBLE, marks / greatest(8.0::DOUBLE, 0.2::DOUBLE * (hi - lo + 1))) * CASE WHEN attested THEN 1 / (1 + contra) ELSE pow(0.95::DOUBLE, distance) / (1 + contra) END, 6) END AS confidence FROM said",
+    ),
+    "rejected_observations": q(LABELS, ATTESTED, "SELECT o.volume_id, o.pos, o.label, o.source, 'unknown' AS why FROM obs o JOIN (SELECT volume_id, count(*) FILTER (attested) AS n FROM att GROUP BY ALL) USING (volume_id) WHERE o.value - o.pos <> 10 OR n < 2"),
+    "page_modes": q(SHAPES, MODES, "SELECT volume_id, pos, mode, (sum(CASE WHEN mode IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY volume_id ORDER BY pos))::INT AS island FROM (SELECT *, lag(mode) OVER (PARTITION BY volume_id ORDER BY pos) AS before FROM modes WHERE nth > 0)").replace("WITH ", "WITH RECURSIVE ", 1),
+    "page_regions": q(SHAPES, MODES, "SELECT volume_id, pos, CASE mode WHEN 'frontmatter' THEN 'front-matter' WHEN 'toc' THEN 'contents' ELSE 'main' END AS region FROM modes WHERE nth > 0").replace("WITH ", "WITH RECURSIVE ", 1),
+    "merged_references": q(
+        "rf0 AS (SELECT volume_id, pos, ln, line, row_number() OVER (PARTITION BY volume_id ORDER BY pos, ln) AS i FROM page_lines WHERE pos <= 3)",
+        "rf1 AS (SELECT volume_id, pos, ln, i, trim(CASE WHEN i % 3 = 0 THEN '[' || (i // 3) || '] ' || line ELSE line END) AS s, i // 3 AS e FROM rf0 WHERE i >= 6)",
+        "rf2 AS (SELECT *, row_number() OVER w AS k, lag(s) OVER w AS prev FROM rf1 WINDOW w AS (PARTITION BY volume_id, e ORDER BY i))",
+        rf"rf3 AS (SELECT *, regexp_matches(prev, '\p{{L}}-$') AND regexp_matches(s, '^\p{{L}}') AND NOT regexp_matches(s, '{HARD}') AS glue FROM rf2)",
+        "rf4 AS (SELECT *, CASE WHEN k = 1 OR glue THEN s ELSE ' ' || s END AS piece, coalesce(lead(glue) OVER (PARTITION BY volume_id, e ORDER BY i), false) AS drop_last FROM rf3)",
+        "SELECT volume_id, arg_min(pos, i) AS pos, arg_min(ln, i) AS ln, md5(string_agg(CASE WHEN drop_last THEN substr(piece, 1, length(piece) - 1) ELSE piece END, '' ORDER BY i)) AS line_md5 FROM rf4 GROUP BY volume_id, e",
+    ),
+    "decision_template": q(NOTES, MARKED, PARAS, TEMPLATE, "SELECT volume_id, string_agg(line, chr(10) ORDER BY para, num, cand) AS content FROM tpl GROUP BY volume_id"),
+    "ocr_profile": q(
+        NOTES, MARKED, PARAS, TEMPLATE,
+        "prf AS (SELECT num, glyph, count(*) FILTER (cand = 1) AS accepted, count(*) FILTER (cand > 1) AS rejected FROM tpl GROUP BY ALL)",
+        "SELECT num, glyph, accepted, rejected, CASE WHEN accepted > 0 THEN round(3.0 * accepted / sum(accepted) OVER (PARTITION BY num), 6)::DOUBLE END AS weight FROM prf",
+    ),
+    "annotated_paragraphs": q(
+        NOTES, MARKED, PARAS,
+        "rnk AS (SELECT *, row_number() OVER (PARTITION BY volume_id, para, num ORDER BY confidence DESC, \"at\") AS k, count(*) OVER (PARTITION BY volume_id, para, num) AS n, lead(confidence) OVER (PARTITION BY volume_id, para, num ORDER BY confidence DESC, \"at\") AS nxt FROM scored)",
+        "sug AS (SELECT volume_id, para, num, (n = 1 AND confidence >= 0.5) OR (n > 1 AND informed AND confidence >= 0.5 AND round(confidence - nxt, 6) >= 0.15) AS sure FROM rnk WHERE k = 1)",
+        "flg AS (SELECT g.volume_id, g.para, g.num, g.stop AS o, '[?FN:' || g.num || ']' AS f FROM gaps g LEFT JOIN sug USING (volume_id, para, num) WHERE sure IS NULL UNION ALL SELECT r.volume_id, r.para, r.num, r.\"at\" + 1, CASE WHEN sure THEN '[?FN:' || r.num || '|' || glyph || ']' ELSE '[??FN:' || r.num || '|' || glyph || ':' || printf('%.1f', confidence) || ']' END FROM rnk r JOIN sug USING (volume_id, para, num) WHERE NOT sure OR k = 1)",
+        "spl AS (SELECT f.*, text, coalesce(lag(o) OVER w, 0) AS prev, row_number() OVER w AS i FROM flg f JOIN par USING (volume_id, para) WINDOW w AS (PARTITION BY f.volume_id, f.para ORDER BY o, num))",
+        "cat AS (SELECT volume_id, para, string_agg(substr(text, prev + 1, o - prev) || f, '' ORDER BY i) || substr(any_value(text), (max(o) + 1)::BIGINT) AS t FROM spl GROUP BY ALL)",
+        "SELECT volume_id, para, coalesce(t, text) AS text FROM par LEFT JOIN cat USING (volume_id, para)",
+    ),
 }
