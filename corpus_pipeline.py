@@ -15,6 +15,8 @@ from quirelight.llm.common import free_name, materialise, table
 
 #: A text is rejected if it has no letter, or if no language holds this share of its words.
 LEAST_SHARE = 0.35
+#: Keys (8 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_KEYS = 2_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no window of ten words of a benchmark item."""
     found = decontam.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     key = free_name(docs, "_key")
-    bad = found.where("n_hit > 0").select(F.col("key").alias(key)).distinct()
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(bad, key, "left_anti").drop(key)
+    bad = materialise(found.where("n_hit > 0").select(F.col("key").alias(key)).distinct(), "pipeline-contaminated")
+    few = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(few, key, "left_anti").drop(key)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
