@@ -15,6 +15,7 @@ rows are rows of their own; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -176,15 +177,30 @@ def key_bits(rows: int) -> int:
     return min(28, max(16, (4 * max(rows, 1) - 1).bit_length()))
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+def _bits(hexed: Column, at: int, width: int) -> Column:
+    """Bits at .. at + width of a wide fingerprint in hexadecimal, as a number (any window of bits serves alike)."""
+    digits = -(-width // 4) + 1
+    part = F.conv(F.substring(hexed, at // 4 + 1, digits), 16, 10).cast("long")
+    return F.shiftright(part, 4 * digits - width - at % 4).bitwiseAND(F.lit((1 << width) - 1))
+
+
+#: Blocks that fingerprints are joined on, and those that the rest of a large bucket is joined on besides.
+TABLES, SUBTABLES, SUBWIDTH, LEVELS = 80, 6, 6, 6
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) between nodes whose word shingles are about as similar or more, and membership (row, node).
 
     docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. The wide fingerprint is
     cut into blocks of key_bits() bits and nodes are joined on them: at a similarity of 0.8 two nodes agree in 85 % of
-    their bits and share one of 100 blocks of 20 bits with a probability of 0.98. What meets in a block is held to a
-    Hamming distance of 64 bits first, then of all 2016, which tells the similarity to about 0.01. Blocks of more than
-    ``bucket`` nodes are never paired out: all nodes are compared to the block's leader, those that aren't linked to it
-    form the block anew, until few are left. Leaders differ from block to block.
+    their bits and share one of 80 blocks of 20 bits with a probability of 0.95, at 0.85 of 0.99. What meets in a block
+    is held to a Hamming distance of 64 bits first, then of all 2016, which tells the similarity to about 0.01.
+
+    Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared to its leader, the
+    node nearest to the majority of the bucket's bits (of copies with small changes, the original or one like it), those
+    that it leaves to a second one; the rest is joined on further blocks within the bucket, and so on; what is left in large
+    buckets after ``LEVELS`` levels (nodes that share a block at each level but aren't near any leader) is compared
+    pair by pair.
     """
 
     @F.pandas_udf("struct<fp: bigint, wide: binary>")
@@ -192,59 +208,70 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32, ro
         for s in texts:
             yield pd.DataFrame([wide_fingerprint(t) for t in s], columns=["fp", "wide"])
 
-    made = materialise(docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.wide"), "wide-fingerprints")
-    nodes = materialise(made.groupBy("wide").agg(F.min("row").alias("node"), F.min("fp").alias("fp")), "wide-nodes")
-    members = made.join(nodes.select("wide", "node"), "wide").select("row", "node")
+    made = docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.wide", F.xxhash64("x.wide").alias("hash"))
+    made = materialise(made, "wide-fingerprints")
+    nodes = made.groupBy("fp", "hash").agg(F.min(F.struct("row", "wide")).alias("m")).select("fp", "hash", F.col("m.row").alias("node"), "m.wide")
+    nodes = materialise(nodes, "wide-nodes")
+    members = made.select("row", "fp", "hash").join(nodes.select("fp", "hash", "node"), ["fp", "hash"]).select("row", "node")
+    wide = nodes.select("node", "wide")
     width = key_bits(nodes.count())
-    tables = min(100, WIDE // width)
     apart = bits_apart(similarity)
     near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
     near = int(WIDE * apart + 1.5 * (WIDE * apart * (1 - apart)) ** 0.5)
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= near64
 
-    hexed = F.hex("wide")
-    digits = -(-width // 4) + 1
+    def counted(keyed: DataFrame) -> DataFrame:
+        """Rows (key, node, fp, n) of keys that have several nodes."""
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        return materialise(keyed.join(counts, "key"), "wide-blocks")
 
-    def key(t: int) -> Column:
-        """Bits t * width on, as a number; bytes hold their first bit lowest, so any window of bits serves alike."""
-        at = t * width
-        part = F.conv(F.substring("hexed", at // 4 + 1, digits), 16, 10).cast("long")
-        return F.shiftright(part, 4 * digits - width - at % 4).bitwiseAND(F.lit((1 << width) - 1))
+    def paired(rows: DataFrame) -> DataFrame:
+        mate = rows.select("key", F.col("node").alias("v"), F.col("fp").alias("other"))
+        return rows.join(mate, "key").where("node < v").where(close).select(F.col("node").alias("u"), "v")
 
-    keyed = nodes.select("node", "fp", hexed.alias("hexed")).select("node", "fp", F.posexplode(F.array(*(key(t) for t in range(tables)))).alias("t", "key"))
-    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = materialise(keyed.join(counts, ["t", "key"]).select("t", "key", "node", "fp", "n"), "wide-blocks")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= near64
+    tables = min(TABLES, WIDE // width)
+    keys = F.array(*((_bits(F.col("hexed"), t * width, width).bitwiseOR(F.lit(t << 32))) for t in range(tables)))
+    keyed = nodes.select("node", "fp", F.hex("wide").alias("hexed"))
+    open_ = counted(keyed.select("node", "fp", F.explode(keys).alias("key")))
     found = []
-    for i in range(rounds):
-        small = open_.where(F.col("n") <= bucket)
-        mate = small.select("t", "key", F.col("node").alias("v"), F.col("fp").alias("other"))
-        pairs = small.join(mate, ["t", "key"]).where("node < v").where(close).select(F.col("node").alias("u"), "v")
-        found.append(materialise(pairs.distinct(), "wide-pairs"))
+    for step in range(2 * LEVELS):
+        found.append(paired(open_.where(F.col("n") <= bucket)))
         large = open_.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        lead = large.groupBy("t", "key").agg(F.min_by(F.struct("node", "fp"), F.xxhash64("t", "node")).alias("lead"))
-        large = large.join(lead, ["t", "key"]).select("t", "key", "node", "fp", F.col("lead.node").alias("u"), F.col("lead.fp").alias("other"))
+        bits = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+        middle = reduce(Column.bitwiseOR, (F.when(2 * F.col(f"b{i}") > F.col("size"), F.lit(_signed(1 << i))).otherwise(0) for i in range(64)))
+        middle = large.groupBy("key").agg(F.count("*").alias("size"), *bits).select("key", middle.alias("middle"))
+        from_middle = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+        lead = large.join(middle, "key").groupBy("key").agg(F.min_by(F.struct("node", "fp"), F.struct(from_middle, F.xxhash64("node"))).alias("lead"))
+        large = large.join(lead, "key").select("key", "node", "fp", F.col("lead.node").alias("u"), F.col("lead.fp").alias("other"))
         large = materialise(large.withColumn("linked", close), "wide-large")
-        found.append(materialise(large.where("linked and node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "wide-pairs"))
-        rest = large.where("not linked").select("t", "key", "node", "fp")
-        again = rest.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-        open_ = materialise(rest.join(again, ["t", "key"]).select("t", "key", "node", "fp", "n"), "wide-blocks")
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
-    candidates = materialise(candidates.distinct(), "wide-candidates")
-    longs = F.transform(F.sequence(F.lit(0), F.lit(WIDE // 32 - 1)), lambda i: F.conv(F.substr(hexed, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    words = nodes.select("node", longs.alias("words"))
+        found.append(large.where("linked and node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")))
+        rest = large.where("not linked").select("key", "node", "fp")
+        if step == 2 * LEVELS - 1:
+            found.append(paired(rest))
+        elif step % 2 == 0:
+            open_ = counted(rest)  # a second leader for those that the first left
+        else:
+            first = tables * width + step // 2 * SUBTABLES * SUBWIDTH
+            sub = F.array(*(F.xxhash64("key", F.lit(i), _bits(F.col("hexed"), (first + i * SUBWIDTH) % (WIDE - SUBWIDTH), SUBWIDTH)) for i in range(SUBTABLES)))
+            again = rest.join(wide, "node").select("key", "node", "fp", F.hex("wide").alias("hexed"))
+            open_ = counted(again.select("node", "fp", F.explode(sub).alias("key")))
+    candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "wide-candidates")
+    longs = F.transform(F.sequence(F.lit(0), F.lit(WIDE // 32 - 1)), lambda i: F.conv(F.substr("hexed", i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    words = wide.withColumn("hexed", F.hex("wide")).select("node", longs.alias("words"))
+    ends = candidates.select("u").union(candidates.select("v")).distinct().withColumnRenamed("u", "node")
+    words = materialise(words.join(ends, "node", "left_semi"), "wide-words")
     both = candidates.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
     distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.where(distance <= near).select("u", "v"), members
 
 
-def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """docs with one row of each group of near-duplicates left: that with the smallest id, then the smallest row hash.
 
     A group is a component over links of similar_links(). Null ids come last; of rows equal in all columns one is left.
+    Row hashes are broadcast up to ``broadcast_rows`` of them (8 bytes each), beyond that rows are joined by shuffle.
     """
     row = free_name(docs, "_row")
     keyed = docs.withColumn(row, F.xxhash64(*(F.col(c) for c in docs.columns)))
@@ -255,13 +282,16 @@ def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     members = materialise(members.distinct(), "simhash-members")
     grouped = members.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root")).join(rows.select(F.col(row).alias("row"), "id"), "row")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    kept = grouped.groupBy("root").agg(F.min_by("row", order).alias(row)).select(row)
-    repeated = rows.where("copies > 1").select(row)
-    out = keyed.join(kept, row, "left_semi")
-    if repeated.isEmpty():
+    kept = grouped.groupBy("root").agg(F.min_by("row", order).alias("row"))
+    gone = materialise(rows.select(F.col(row).alias("row")).join(kept, "row", "left_anti").select(F.col("row").alias(row)), "simhash-gone")
+    out = keyed.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, row, "left_anti")
+    repeated = materialise(rows.where("copies > 1").join(kept, F.col(row) == F.col("row"), "left_semi").select(row), "simhash-repeated")
+    n = repeated.count()
+    if not n:
         return out.drop(row)
-    twice = out.join(repeated, row, "left_semi").dropDuplicates([row])
-    return out.join(repeated, row, "left_anti").unionByName(twice).drop(row)
+    few = F.broadcast(repeated) if n <= broadcast_rows else repeated
+    twice = out.join(few, row, "left_semi").dropDuplicates([row])
+    return out.join(few, row, "left_anti").unionByName(twice).drop(row)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
