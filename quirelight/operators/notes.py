@@ -83,3 +83,10 @@ def bind_preceding(references: DataFrame, notes: DataFrame) -> DataFrame:
 
     both = references.withColumn("note", F.lit(False)).unionByName(notes.withColumn("note", F.lit(True)))
     return both.groupBy("doc", "number").applyInPandas(bind, "doc string, number int, note_at long, ref_at long")
+
+
+def nearby_numbers(defs: DataFrame) -> DataFrame:
+    """(volume_id, pos, nums): note numbers of a page and of the pages before and after it."""
+    per = defs.groupBy(*PAGE).agg(F.collect_set("num").alias("own"))
+    w = W.partitionBy("volume_id").orderBy("pos").rangeBetween(-1, 1)
+    return per.select(*PAGE, F.array_sort(F.array_distinct(F.flatten(F.collect_list("own").over(w)))).alias("nums"))

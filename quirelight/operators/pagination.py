@@ -289,3 +289,14 @@ def attested_share(verdicts: DataFrame) -> DataFrame:
     """(volume_id, pages, attested, share)."""
     ok = F.count_if(F.col("label_source").isin("printed", "link"))
     return verdicts.groupBy("volume_id").agg(F.count("*").alias("pages"), ok.alias("attested")).withColumn("share", F.round(F.col("attested") / F.col("pages"), 6))
+
+
+def chapter_number_run(turned_down: DataFrame, most: int = 50) -> DataFrame:
+    """(volume_id, pos, value): the longest run of rejected labels that count up by one; two at least, the first of equals."""
+    rows = turned_down.select("volume_id", "pos", ordinal_of(F.col("label")).alias("value")).where(F.col("value").between(1, most)).dropDuplicates(["volume_id", "pos"])
+    step = F.col("value") - F.lag("value").over(_volume().orderBy("pos"))
+    rows = rows.withColumn("new", F.coalesce(step != 1, F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(_volume().orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    runs = rows.groupBy("volume_id", "run").agg(F.count("*").alias("n")).where("n >= 2")
+    best = runs.groupBy("volume_id").agg(F.min_by("run", F.struct(-F.col("n"), "run")).alias("run"))
+    return rows.join(best, ["volume_id", "run"]).select("volume_id", "pos", "value")

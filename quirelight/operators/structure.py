@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.labels import strip
 from ..functions.regions import region_of_heading, region_of_running_head
-from ..functions.text import normalise_header, squeeze
+from ..functions.text import edge_page_number, normalise_header, squeeze
 
 PAGE = ["volume_id", "pos"]
 ENTRY = r"^(.*?\S)[\s.]*\s([0-9]{1,4})$"
@@ -249,6 +249,56 @@ def confirmed_starts(outline: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.min_by(F.struct("title", "level", "n_lines"), F.struct("level", "ord")).alias("x")).select(*PAGE, "x.*")
 
 
+def title_starts(entries: DataFrame, lines: DataFrame, contents: DataFrame) -> DataFrame:
+    """(volume_id, pos, title, ord): of each contents entry the first free page whose first lines spell its title.
+
+    contents: pages (volume_id, pos) that list contents. A page is compared only if one of its first four lines holds the
+    title's first word; pages are taken in the order of entries, so that is a function per volume on the few pairs left.
+    """
+    first = lines.where(strip(F.col("line")) != "").withColumn("nth", F.row_number().over(W.partitionBy(*PAGE).orderBy("ln"))).where("nth <= 5")
+    first = first.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]).alias("l"))
+    first = first.join(contents.select(*PAGE), PAGE, "left_anti")
+    word = F.lower(F.regexp_extract("title", r"(\p{L}+)", 1))
+    gate = F.contains(F.lower(F.array_join(F.slice("l", 1, 4), " ")), F.col("word")) & (F.col("word") != "")
+    pairs = entries.select("volume_id", "ord", "title", word.alias("word")).join(first, "volume_id").where(gate)
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: set[int] = set()
+        done: set[int] = set()
+        out = []
+        for n, pos, title, some in sorted(zip(pdf["ord"], pdf["pos"], pdf["title"], pdf["l"]), key=lambda r: r[:2]):
+            if n not in done and pos not in taken and spelled_out(title, list(some)):
+                taken.add(pos)
+                done.add(n)
+                out.append((pdf["volume_id"].iloc[0], int(pos), title, int(n)))
+        return pd.DataFrame(out, columns=["volume_id", "pos", "title", "ord"])
+
+    return pairs.select("volume_id", "ord", "title", "pos", "l").groupBy("volume_id").applyInPandas(take, "volume_id string, pos int, title string, ord int")
+
+
+def fresh_starts(found: DataFrame, known: DataFrame) -> DataFrame:
+    """known chapter starts and those found on pages where none is known."""
+    fresh = found.join(known.select(*PAGE), PAGE, "left_anti")
+    return known.select(*PAGE, "title").unionByName(fresh.select(*PAGE, "title"))
+
+
+def without_running_titles(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """lines without chapter titles that head later pages of their chapter; a page number beside one stays.
+
+    starts: (volume_id, pos, title). Only the first three lines of a page after the start are looked at.
+    """
+    marks = starts.select("volume_id", "pos", "title", F.lit(0).alias("o"))
+    pages = lines.select(*PAGE).distinct().select("volume_id", "pos", F.lit(None).cast("string").alias("title"), F.lit(1).alias("o"))
+    before = F.last("title", ignorenulls=True).over(W.partitionBy("volume_id").orderBy("pos", "o").rowsBetween(W.unboundedPreceding, -1))
+    at = marks.unionByName(pages).withColumn("chapter", before).where("o = 1").join(starts.select(*PAGE).distinct(), PAGE, "left_anti").select(*PAGE, "chapter")
+    full = strip(F.col("line")) != ""
+    rows = lines.join(at, PAGE, "left").withColumn("nth", F.count_if(full).over(W.partitionBy(*PAGE).orderBy("ln").rowsBetween(W.unboundedPreceding, 0)))
+    is_title = full & (F.col("nth") <= 3) & (normalised_title(F.col("line")) == normalised_title(F.col("chapter")))
+    number = edge_page_number(F.col("line"))
+    rows = rows.withColumn("gone", F.coalesce(is_title, F.lit(False)))
+    return rows.where(~F.col("gone") | number.isNotNull()).select(*PAGE, "ln", F.when(F.col("gone"), number).otherwise(F.col("line")).alias("line"))
+
+
 def principal_rank(starts: DataFrame) -> DataFrame:
     """(volume_id, level): the outline level that most chapters open on; packaging and subsections don't count."""
     wrap = F.col("title").rlike(r"(?i)^(cover|title( page)?|isbn.*|copyright|imprint|half.?title|inhalt|contents)$")

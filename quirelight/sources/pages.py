@@ -136,3 +136,10 @@ def archive_pages(members: DataFrame) -> DataFrame:
 def write_rendered(rendered: DataFrame, path: str) -> None:
     """Rows (volume_id, kind, content) as Parquet, a folder for each kind."""
     rendered.write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def outline_json(outline: DataFrame) -> DataFrame:
+    """(volume_id, content): outlines as JSON; a volume without entries has none."""
+    entries = F.array_sort(F.collect_list(F.struct("ord", "level", "title", "page")))
+    rows = outline.groupBy("volume_id").agg(entries.alias("e"))
+    return rows.select("volume_id", F.to_json(F.transform("e", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("page")))).alias("content"))

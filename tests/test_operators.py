@@ -221,3 +221,37 @@ def test_truth():
         with pytest.raises(ValueError):
             documents.read_truth(bad)
     assert documents.sampled_pages(list("abcdef"), 3, 1) == documents.sampled_pages(list("abcdef"), 3, 1)
+
+
+def test_decided_and_unmatched(spark):
+    paras = spark.createDataFrame([("v", 1, "aS b [4] cz d")], "volume_id string, para int, text string")
+    scores = spark.createDataFrame([("v", 1, 5, 1, "S", 0.8, "9"), ("v", 1, 2, 10, "z", 0.7, "9"), ("v", 1, 2, 3, "b", 0.6, "9")], "volume_id string, para int, num int, at int, glyph string, confidence double, page string")
+    choices = spark.createDataFrame([("v", "9", 5, 1), ("v", "9", 2, 1), ("v", "9", 7, 1)], "volume_id string, page string, fn int, cand int")
+    assert doubt.decided(paras, scores, choices).first().text == "a[5] b [4] c[2] d"
+    assert [r.fn for r in doubt.unmatched(scores, choices).collect()] == [7]
+
+
+def test_nearby_notes_and_chapter_numbers(spark):
+    defs = spark.createDataFrame([("v", 1, 1), ("v", 2, 2), ("v", 4, 9)], "volume_id string, pos int, num int")
+    assert {r.pos: r.nums for r in notes.nearby_numbers(defs).collect()} == {1: [1, 2], 2: [1, 2], 4: [9]}
+    labels = spark.createDataFrame([("v", p, x) for p, x in ((1, "7"), (3, "1"), (9, "2"), (14, "3"), (20, "1700"))], "volume_id string, pos int, label string")
+    assert sorted((r.pos, r.value) for r in pagination.chapter_number_run(labels).collect()) == [(3, 1), (9, 2), (14, 3)]
+
+
+def test_chapters_from_contents(spark):
+    entries = spark.createDataFrame([("v", 1, "Of Paper"), ("v", 2, "Of Paper"), ("v", 3, "Of Ink")], "volume_id string, ord int, title string")
+    lines = spark.createDataFrame([("v", 1, 0, "Of Paper"), ("v", 2, 0, "OF PAPER"), ("v", 3, 0, "12 Of Paper"), ("v", 3, 1, "text"), ("v", 5, 0, "Of Paper"), ("v", 6, 0, "Of Ink")], "volume_id string, pos int, ln int, line string")
+    contents = spark.createDataFrame([("v", 1)], "volume_id string, pos int")
+    found = structure.title_starts(entries, lines, contents)
+    assert sorted((r.pos, r.ord) for r in found.collect()) == [(2, 1), (5, 2), (6, 3)]
+    known = spark.createDataFrame([("v", 2, "Of Paper"), ("v", 6, "Of Ink")], "volume_id string, pos int, title string")
+    assert structure.fresh_starts(found, known).count() == 3
+    left = {(r.pos, r.line) for r in structure.without_running_titles(lines, known).collect()}
+    assert left == {(1, "Of Paper"), (2, "OF PAPER"), (3, "12"), (3, "text"), (6, "Of Ink")}
+
+
+def test_reports(spark):
+    r = evaluate.report(spark.createDataFrame([("b", 2), ("a", None)], "volume_id string, n int")).first()
+    assert r.markdown == "| volume_id | n |\n|---|---|\n| a | – |\n| b | 2 |" and r.json.split("\n")[1] == '{"volume_id":"b","n":2}'
+    o = pages.outline_json(spark.createDataFrame([("v", 2, 1, "B", 5), ("v", 1, 1, "A", 3)], "volume_id string, ord int, level int, title string, page int")).first()
+    assert json.loads(o.content) == [{"level": 1, "title": "A", "page": 3}, {"level": 1, "title": "B", "page": 5}]
