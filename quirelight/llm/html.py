@@ -52,6 +52,15 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACES = re.compile(r"\s+")
 
 
+HEADER_WORDS = {"header", "masthead", "banner"}
+
+
+def _is_header(source: str) -> bool:
+    """Whether the class or id calls an element a header and nothing else that is dropped."""
+    words = {w for m in ATTR.finditer(source) if m[1].lower() in ("class", "id") for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())}
+    return bool(words & HEADER_WORDS) and not words & (DROP_WORDS - HEADER_WORDS)
+
+
 def _says_drop(tag: str, source: str) -> bool:
     if tag in DROP_TAGS:
         return True
@@ -143,7 +152,12 @@ class Page:
                     heads = True
                 else:
                     dropped = True
-            dropped = dropped or _says_drop(tag, attrs)
+            if not dropped and _says_drop(tag, attrs):
+                # The header of an article holds its headings.
+                if region == 2 and tag in ("div", "section", "hgroup") and _is_header(attrs):
+                    heads = True
+                else:
+                    dropped = True
             if tag == "article":
                 region = 2
             elif (tag == "main" or "main" in attrs and re.search(r"""\brole\s*=\s*["']?main\b""", attrs)) and region == 0:

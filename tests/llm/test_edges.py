@@ -157,6 +157,7 @@ def test_html_text():
     three<br>four<p>five&nbsp;six<ul><li>a<li>b</ul><form>f</form><div class="share-box">s</div><!-- <p>no</p> --></article>
     <div id="comments"><article class="comment"><p>q</p></article></div><footer>f</footer>"""
     assert html.Page(page).text() == "T & x\nOne two three four\nfive six\na\nb"
+    assert html.Page('<article><div class="post-header"><h2>Head</h2><p>by line</p></div><div class="page-footer">f</div><p>x').text() == "Head\nx"
     assert html.Page(None).text() == html.Page("").text() == ""
     assert html.Page("plain <b>text</b>").text() == "plain text"
     assert html.Page("<p>a<" + "b" * 10).text().startswith("a")
