@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import remembered, table
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 RESTART = 8
 SCALE = 20
 
