@@ -73,6 +73,19 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def bounded_sample(df: DataFrame, key: Column, rows: int, of: int) -> DataFrame:
+    """Up to rows rows of df (which has ``of`` rows) by the hash of key: the same rows wherever they lie.
+
+    Hashes above what can be needed are left out before the sort, so that no task gathers more than a few times rows.
+    """
+    h = free_name(df, "_hash")
+    df = df.withColumn(h, F.xxhash64(key))
+    share = (2 * rows + 50) / max(of, 1)
+    if share < 1:
+        df = df.where(F.col(h) < int(-(1 << 63) + share * (1 << 64)))
+    return df.orderBy(h, key).limit(rows).drop(h)
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value computed once a row even where use() refers to it many times or inside a lambda."""
     return F.element_at(F.transform(F.array(value), use), 1)

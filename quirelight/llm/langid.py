@@ -23,14 +23,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, table
+from .common import bounded_sample, learnable, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -166,7 +167,7 @@ class Crf:
         out = np.add.reduceat(self.w[flat], starts, axis=0).astype(np.float64)
         return out + np.array([self.lexical(w) for w in words]) * self.lex_weight
 
-    def fit(self, texts: list[list[str]], labels: list[int], epochs: int = 3, piece: int = 100, batch: int = 48, rate: float = 0.15, seed: int = 3) -> None:
+    def fit(self, texts: Iterable[list[str]], labels: list[int], epochs: int = 3, piece: int = 100, batch: int = 48, rate: float = 0.15, seed: int = 3) -> None:
         n, rng = len(self.labels), np.random.default_rng(seed)
         number: dict[str, int] = {}
         rows = [np.array([number.setdefault(w, len(number)) for w in t], np.int64) for t in texts]
@@ -178,11 +179,14 @@ class Crf:
         sure = counts.sum(1)
         odds *= (sure / (sure + 5))[:, None]
         names = list(number)
-        self.lexicon = {names[i]: odds[i] for i in np.flatnonzero(sure >= 3)}
+        self.lexicon = {names[i]: odds[i].copy() for i in np.flatnonzero(sure >= 3)}
         odds[sure < 3] = 0
-        found = [features(w) for w in names]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(size.sum()))
+        hashed_all, sizes = array("i"), array("i")
+        for w in names:
+            own = features(w)
+            hashed_all.extend(own)
+            sizes.append(len(own))
+        flat, size = np.frombuffer(hashed_all, np.int32), np.frombuffer(sizes, np.int32)
         start = np.concatenate([[0], np.cumsum(size)])
         pieces = [(r[i : i + piece], label) for r, label in zip(rows, labels) for i in range(0, len(r), piece)]
         gw, gt, gl = np.full(self.w.shape, 1e-3, np.float32), np.full((n, n), 1e-3), np.full(n, 1e-3)
@@ -282,26 +286,28 @@ class Predictor:
             known.fresh = []
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
         ids = np.fromiter((i for r in rows for i in r), np.int64, int(lens.sum()))
+        if not self.model.labels:
+            return [(UND, 0.0)] * len(rows)
         got = self.model.expected(self.table, ids, lens)
-        best = got.argmax(1) if len(self.model.labels) else np.zeros(len(rows), int)
-        return [(self.model.labels[b], float(min(1.0, g[b] / n))) if n and len(g) else (UND, 0.0) for b, g, n in zip(best, got, lens)]
+        best = got.argmax(1)
+        return [(self.model.labels[b], float(min(1.0, g[b] / n))) if n else (UND, 0.0) for b, g, n in zip(best, got, lens)]
 
 
 def fit(docs: DataFrame, rows: int = ROWS) -> Crf:
     """A field learned from up to rows learnable texts of each language."""
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    found = None
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    langs, found = sorted(counts), None
     for lang in langs:
-        some = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
+        some = bounded_sample(known.where(F.col("lang") == lang), F.col("doc_id"), rows, counts[lang])
         found = some if found is None else found.unionByName(some)
     model = Crf(langs)
     if found is not None:
         got = found.toPandas().sort_values(["lang", "doc_id", "text"])
-        texts = [[w for w in words_of(t) if any(map(str.isalpha, w))] for t in got["text"]]
-        kept = [(t, langs.index(x)) for t, x in zip(texts, got["lang"]) if t]
+        lettered = lambda t: [w for w in words_of(t) if any(map(str.isalpha, w))]
+        kept = [(t, langs.index(x)) for t, x in zip(got["text"], got["lang"]) if any(map(str.isalpha, t))]
         if kept:
-            model.fit([t for t, _ in kept], [y for _, y in kept])
+            model.fit((lettered(t) for t, _ in kept), [y for _, y in kept])
     return model
 
 
