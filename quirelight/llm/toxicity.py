@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, table
+from .common import bounded_sample, learnable, table
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
@@ -215,7 +215,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, target: str = "
     """Up to rows learnable texts of each class, by hash of the id, and the true share of label 1."""
     known = labels.where(learnable(F.col("doc_id")) & F.col(target).isin(0, 1)).select("doc_id", F.col(target).cast("int").alias("label")).dropDuplicates(["doc_id"])
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    by_hash = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
+    by_hash = [bounded_sample(known.where(F.col("label") == v), F.col("doc_id"), rows, counts.get(v, 0)) for v in (0, 1)]
     few = F.broadcast(by_hash[0].unionByName(by_hash[1]))
     found = docs.select("doc_id", "text", "lang").join(few, "doc_id").toPandas().sort_values(["doc_id", "text"], na_position="first")
     found = found.drop_duplicates("doc_id").sample(frac=1, random_state=5).reset_index(drop=True)
