@@ -196,11 +196,12 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
     their bits and share one of 80 blocks of 20 bits with a probability of 0.95, at 0.85 of 0.99. What meets in a block
     is held to a Hamming distance of 64 bits first, then of all 2016, which tells the similarity to about 0.01.
 
-    Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared to its leader, the
-    node nearest to the majority of the bucket's bits (of copies with small changes, the original or one like it), those
-    that it leaves to a second one; the rest is joined on further blocks within the bucket, and so on; what is left in large
-    buckets after ``LEVELS`` levels (nodes that share a block at each level but aren't near any leader) is compared
-    pair by pair.
+    Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared by all bits to its
+    leader, the open node nearest to the majority of the bucket's bits (of copies with small changes, the original or one
+    like it), those that it leaves to a second one; the rest is joined on further blocks within the bucket, and so on; what
+    is left in large buckets after ``LEVELS`` levels (nodes that share a block at each level but aren't near any leader) is
+    compared pair by pair. A node that is linked is no longer open: it needs no pair with others of the kind, but stays
+    as long as an open node of the bucket may be near it (by the triangle inequality over the distances to the leader).
     """
 
     @F.pandas_udf("struct<fp: bigint, wide: binary>")
@@ -221,19 +222,29 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= near64
 
     def counted(keyed: DataFrame) -> DataFrame:
-        """Rows (key, node, fp, n) of keys that have several nodes."""
-        counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        """Rows (key, node, fp, open, n) of keys that have several nodes, one of them open."""
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").drop("any")
         return materialise(keyed.join(counts, "key"), "wide-blocks")
 
     def paired(rows: DataFrame) -> DataFrame:
-        mate = rows.select("key", F.col("node").alias("v"), F.col("fp").alias("other"))
-        return rows.join(mate, "key").where("node < v").where(close).select(F.col("node").alias("u"), "v")
+        mate = rows.select("key", F.col("node").alias("v"), F.col("fp").alias("other"), F.col("open").alias("too"))
+        return rows.join(mate, "key").where("node < v and (open or too)").where(close).select(F.col("node").alias("u"), "v")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """Rows (u, v, d) of pairs (u, v): the distance in all bits."""
+        ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+        longs = F.transform(F.sequence(F.lit(0), F.lit(WIDE // 32 - 1)), lambda i: F.conv(F.substr("hexed", i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+        words = wide.join(ends, "node", "left_semi").withColumn("hexed", F.hex("wide")).select("node", longs.alias("words"))
+        words = materialise(words, "wide-words")
+        both = pairs.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
+        distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return materialise(both.select("u", "v", distance.alias("d")), "wide-distances")
 
     tables = min(TABLES, WIDE // width)
     keys = F.array(*((_bits(F.col("hexed"), t * width, width).bitwiseOR(F.lit(t << 32))) for t in range(tables)))
     keyed = nodes.select("node", "fp", F.hex("wide").alias("hexed"))
-    open_ = counted(keyed.select("node", "fp", F.explode(keys).alias("key")))
-    found = []
+    open_ = counted(keyed.select("node", "fp", F.lit(True).alias("open"), F.explode(keys).alias("key")))
+    found, linked = [], []
     for step in range(2 * LEVELS):
         found.append(paired(open_.where(F.col("n") <= bucket)))
         large = open_.where(F.col("n") > bucket)
@@ -241,13 +252,16 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
             break
         bits = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
         middle = reduce(Column.bitwiseOR, (F.when(2 * F.col(f"b{i}") > F.col("size"), F.lit(_signed(1 << i))).otherwise(0) for i in range(64)))
-        middle = large.groupBy("key").agg(F.count("*").alias("size"), *bits).select("key", middle.alias("middle"))
+        middle = large.where("open").groupBy("key").agg(F.count("*").alias("size"), *bits).select("key", middle.alias("middle"))
         from_middle = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-        lead = large.join(middle, "key").groupBy("key").agg(F.min_by(F.struct("node", "fp"), F.struct(from_middle, F.xxhash64("node"))).alias("lead"))
-        large = large.join(lead, "key").select("key", "node", "fp", F.col("lead.node").alias("u"), F.col("lead.fp").alias("other"))
-        large = materialise(large.withColumn("linked", close), "wide-large")
-        found.append(large.where("linked and node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")))
-        rest = large.where("not linked").select("key", "node", "fp")
+        lead = large.where("open").join(middle, "key").groupBy("key").agg(F.min_by(F.struct("node", "fp"), F.struct(from_middle, F.xxhash64("node"))).alias("lead"))
+        large = large.join(lead, "key").where("node <> lead.node").select("key", "node", "fp", "open", F.least("lead.node", "node").alias("u"), F.greatest("lead.node", "node").alias("v"))
+        large = materialise(large, "wide-large")
+        distances = measured(large.select("u", "v").distinct())
+        linked.append(distances.where(F.col("d") <= near).select("u", "v"))
+        large = materialise(large.join(distances, ["u", "v"]).withColumn("open", F.col("open") & (F.col("d") > near)), "wide-large")
+        ring = large.where("open").groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+        rest = large.join(ring, "key").where(F.col("open") | F.col("d").between(F.col("lo") - near, F.col("hi") + near)).select("key", "node", "fp", "open")
         if step == 2 * LEVELS - 1:
             found.append(paired(rest))
         elif step % 2 == 0:
@@ -255,16 +269,11 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
         else:
             first = tables * width + step // 2 * SUBTABLES * SUBWIDTH
             sub = F.array(*(F.xxhash64("key", F.lit(i), _bits(F.col("hexed"), (first + i * SUBWIDTH) % (WIDE - SUBWIDTH), SUBWIDTH)) for i in range(SUBTABLES)))
-            again = rest.join(wide, "node").select("key", "node", "fp", F.hex("wide").alias("hexed"))
-            open_ = counted(again.select("node", "fp", F.explode(sub).alias("key")))
+            again = rest.join(wide, "node").select("key", "node", "fp", "open", F.hex("wide").alias("hexed"))
+            open_ = counted(again.select("node", "fp", "open", F.explode(sub).alias("key")))
     candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "wide-candidates")
-    longs = F.transform(F.sequence(F.lit(0), F.lit(WIDE // 32 - 1)), lambda i: F.conv(F.substr("hexed", i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    words = wide.withColumn("hexed", F.hex("wide")).select("node", longs.alias("words"))
-    ends = candidates.select("u").union(candidates.select("v")).distinct().withColumnRenamed("u", "node")
-    words = materialise(words.join(ends, "node", "left_semi"), "wide-words")
-    both = candidates.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
-    distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(distance <= near).select("u", "v"), members
+    near_ones = measured(candidates).where(F.col("d") <= near).select("u", "v")
+    return reduce(DataFrame.unionByName, linked, near_ones).distinct(), members
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:

@@ -78,3 +78,39 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def half_similar(seed, families, copies, words=300):
+    """Texts some 0.65 alike by one base, each with copies that are 0.82 like it."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+
+    def changed(w, n):
+        w = list(w)
+        for i in rng.sample(range(len(w)), n):
+            w[i] = f"x{rng.randrange(10**9)}"
+        return w
+
+    out = []
+    for _ in range(families):
+        a = changed(base, 6)
+        out += [a, *(changed(a, 6) for _ in range(copies))]
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_in_blocks_of_half_similar_texts(spark):
+    """Near copies among hundreds of texts that are half like each block's leader, against all pairs."""
+    from quirelight.llm.simhash import similar_links
+
+    texts = half_similar(7, 200, 1)
+    sets = [shingles(t) for t in texts]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links, _ = similar_links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    root = {r.node: r.root for r in components(links).collect()}
+    assert len(alike) >= 180
+    assert sum(root.get(i, i) == root.get(j, j) for i, j in alike) >= 0.99 * len(alike)
