@@ -14,7 +14,8 @@ rows are rows of their own; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -142,6 +143,13 @@ PAIRS = np.triu_indices(64, 1)
 WIDE = len(PAIRS[0])
 
 
+def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Hashes of the distinct shingles of a whole text; none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else {b" ".join(words)} if words else set()
+    return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in joined), dtype="<u8", count=len(joined))
+
+
 def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[int, bytes]:
     """A 64-bit SimHash and one of 2016 bits, of the distinct shingles of a whole text.
 
@@ -149,12 +157,9 @@ def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tupl
     signs; the products are pairwise independent, and one matrix product finds all sums. Ties take the sign of the
     shingle with the smallest hash. Texts without words have zeros.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
         return 0, bytes(WIDE // 8)
-    joined = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(x, seed) for x in joined), dtype="<u8", count=len(joined))
     total, gram = np.zeros(64, np.float64), np.zeros((64, 64), np.float64)
     for at in range(0, len(h), 1 << 13):
         signs = np.unpackbits(h[at : at + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
@@ -177,6 +182,33 @@ def key_bits(rows: int) -> int:
     return min(28, max(16, (4 * max(rows, 1) - 1).bit_length()))
 
 
+def table_count(width: int, similarity: float) -> int:
+    """Blocks of this width that find a pair of this similarity as often as TABLES blocks of the least width do."""
+    same = 1 - bits_apart(similarity)
+    return max(TABLES, math.ceil(TABLES * math.log1p(-(same ** key_bits(0))) / math.log1p(-(same**width)))) if 0 < same < 1 else TABLES
+
+
+def block_keys(width: int, tables: int) -> Callable[[Column], Column]:
+    """Keys of wide fingerprints: bits by seeded permutations of all, each cut into blocks; the table is in the upper half."""
+    per = WIDE // width
+    order = np.concatenate([np.random.default_rng(i).permutation(WIDE)[: per * width] for i in range(-(-tables // per))])[: tables * width]
+
+    @F.pandas_udf("array<bigint>")
+    def keys(wides: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in wides:
+            out = []
+            for at in range(0, len(s), 256):
+                some = s.iloc[at : at + 256]
+                bits = np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=1)
+                packed = np.packbits(bits[:, order].reshape(len(some), tables, width), axis=2, bitorder="little")
+                padded = np.zeros((len(some), tables, 4), np.uint8)
+                padded[:, :, : packed.shape[2]] = packed
+                out += list(padded.view("<u4")[:, :, 0].astype(np.int64) | np.arange(tables, dtype=np.int64) << 32)
+            yield pd.Series(out, dtype=object)
+
+    return keys
+
+
 def _bits(hexed: Column, at: int, width: int) -> Column:
     """Bits at .. at + width of a wide fingerprint in hexadecimal, as a number (any window of bits serves alike)."""
     digits = -(-width // 4) + 1
@@ -184,17 +216,17 @@ def _bits(hexed: Column, at: int, width: int) -> Column:
     return F.shiftright(part, 4 * digits - width - at % 4).bitwiseAND(F.lit((1 << width) - 1))
 
 
-#: Blocks that fingerprints are joined on, and those that the rest of a large bucket is joined on besides.
+#: Blocks of the least width that fingerprints are joined on (more of wider ones), and those that the rest of a large bucket is joined on besides.
 TABLES, SUBTABLES, SUBWIDTH, LEVELS = 80, 6, 6, 6
 
 
 def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) between nodes whose word shingles are about as similar or more, and membership (row, node).
+    """Links (u, v) between nodes whose sets of word shingles are as similar or more, and membership (row, node).
 
-    docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. The wide fingerprint is
-    cut into blocks of key_bits() bits and nodes are joined on them: at a similarity of 0.8 two nodes agree in 85 % of
-    their bits and share one of 80 blocks of 20 bits with a probability of 0.95, at 0.85 of 0.99. What meets in a block
-    is held to a Hamming distance of 64 bits first, then of all 2016, which tells the similarity to about 0.01.
+    docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. Nodes are joined on blocks
+    of key_bits() bits, drawn from the wide fingerprint, and on so many that two nodes at the similarity share one with
+    the same probability at each size of the corpus (0.9975 at 0.8). What meets in a block is held to a Hamming distance
+    of 64 bits first, then of all 2016 (three standard deviations beyond the expected one), then to the sets of shingles.
 
     Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared by all bits to its
     leader, the open node nearest to the majority of the bucket's bits (of copies with small changes, the original or one
@@ -218,7 +250,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
     width = key_bits(nodes.count())
     apart = bits_apart(similarity)
     near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
-    near = int(WIDE * apart + 1.5 * (WIDE * apart * (1 - apart)) ** 0.5)
+    spread = (WIDE * apart * (1 - apart)) ** 0.5
+    near, sure = int(WIDE * apart + 3 * spread), int(WIDE * apart - 3 * spread)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= near64
 
     def counted(keyed: DataFrame) -> DataFrame:
@@ -240,10 +273,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
         distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return materialise(both.select("u", "v", distance.alias("d")), "wide-distances")
 
-    tables = min(TABLES, WIDE // width)
-    keys = F.array(*((_bits(F.col("hexed"), t * width, width).bitwiseOR(F.lit(t << 32))) for t in range(tables)))
-    keyed = nodes.select("node", "fp", F.hex("wide").alias("hexed"))
-    open_ = counted(keyed.select("node", "fp", F.lit(True).alias("open"), F.explode(keys).alias("key")))
+    tables = table_count(width, similarity)
+    open_ = counted(nodes.select("node", "fp", F.lit(True).alias("open"), F.explode(block_keys(width, tables)("wide")).alias("key")))
     found, linked = [], []
     for step in range(2 * LEVELS):
         found.append(paired(open_.where(F.col("n") <= bucket)))
@@ -259,7 +290,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
         large = materialise(large, "wide-large")
         distances = measured(large.select("u", "v").distinct())
         linked.append(distances.where(F.col("d") <= near).select("u", "v"))
-        large = materialise(large.join(distances, ["u", "v"]).withColumn("open", F.col("open") & (F.col("d") > near)), "wide-large")
+        large = materialise(large.join(distances, ["u", "v"]).withColumn("open", F.col("open") & (F.col("d") > sure)), "wide-large")
         ring = large.where("open").groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
         rest = large.join(ring, "key").where(F.col("open") | F.col("d").between(F.col("lo") - near, F.col("hi") + near)).select("key", "node", "fp", "open")
         if step == 2 * LEVELS - 1:
@@ -267,13 +298,25 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
         elif step % 2 == 0:
             open_ = counted(rest)  # a second leader for those that the first left
         else:
-            first = tables * width + step // 2 * SUBTABLES * SUBWIDTH
+            first = step // 2 * SUBTABLES * SUBWIDTH
             sub = F.array(*(F.xxhash64("key", F.lit(i), _bits(F.col("hexed"), (first + i * SUBWIDTH) % (WIDE - SUBWIDTH), SUBWIDTH)) for i in range(SUBTABLES)))
             again = rest.join(wide, "node").select("key", "node", "fp", "open", F.hex("wide").alias("hexed"))
             open_ = counted(again.select("node", "fp", "open", F.explode(sub).alias("key")))
     candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "wide-candidates")
     near_ones = measured(candidates).where(F.col("d") <= near).select("u", "v")
-    return reduce(DataFrame.unionByName, linked, near_ones).distinct(), members
+    near_ones = materialise(reduce(DataFrame.unionByName, linked, near_ones).distinct(), "wide-near")
+
+    @F.pandas_udf("array<bigint>")
+    def hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([shingle_hashes(t).view("<i8") for t in s], dtype=object)
+
+    ends = near_ones.select("u").union(near_ones.select("v")).distinct().withColumnRenamed("u", "row")
+    sets = docs.select("row", "text").join(ends, "row", "left_semi").dropDuplicates(["row"]).select("row", hashes("text").alias("set"))
+    sets = materialise(sets, "wide-sets")
+    both = near_ones.join(sets.select(F.col("row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("b")), "v")
+    both = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
+    return both.where(F.col("common") >= similarity * (F.col("n") - F.col("common"))).select("u", "v"), members
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:

@@ -114,3 +114,30 @@ def test_near_copies_in_blocks_of_half_similar_texts(spark):
     root = {r.node: r.root for r in components(links).collect()}
     assert len(alike) >= 180
     assert sum(root.get(i, i) == root.get(j, j) for i, j in alike) >= 0.99 * len(alike)
+
+
+def test_recall_does_not_fall_with_size():
+    from quirelight.llm.simhash import bits_apart, key_bits, table_count
+
+    same = 1 - bits_apart(0.8)
+    for rows in (100, 10_000, 250_000, 3_000_000, 15_000_000, 60_000_000):
+        width = key_bits(rows)
+        assert 1 - (1 - same**width) ** table_count(width, 0.8) >= 0.997
+
+
+def test_links_are_held_to_shingle_sets(spark):
+    """Pairs on both sides of the threshold: all of 0.8 and more, none below."""
+    from quirelight.llm.simhash import similar_links
+
+    rng = random.Random(11)
+    texts = []
+    for i in range(120):
+        w = [f"v{rng.randrange(10**9)}" for _ in range(300)]
+        texts.append(" ".join(w))
+        for k in rng.sample(range(2, 290), 6 + i % 2):  # 0.82 and 0.79
+            w[k] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    alike = {(i, i + 1) for i in range(0, len(sets), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    links, _ = similar_links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    assert {(r.u, r.v) for r in links.collect()} == alike
