@@ -43,3 +43,10 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@there
+def test_merged_references_reads_all_pages(spark, duck):
+    """The SQL holds its lines to the first three pages; without that it is the whole job."""
+    sql = oracle.SQL["merged_references"]
+    assert rows(queries.QUERIES["merged_references"](spark, SF).toPandas()) == rows(duck.sql(sql.replace("FROM page_lines WHERE pos <= 3", "FROM page_lines")).df())
