@@ -14,10 +14,9 @@ rows are rows of their own; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -150,14 +149,13 @@ def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.nda
     return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in joined), dtype="<u8", count=len(joined))
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[int, bytes]:
-    """A 64-bit SimHash and one of 2016 bits, of the distinct shingles of a whole text.
+def wide_fingerprint(h: np.ndarray) -> tuple[int, bytes]:
+    """A 64-bit SimHash and one of 2016 bits, of the hashes of a whole text's distinct shingles.
 
     Bit (a, b) of the wide one is the sign of the sum, over shingles, of the product of bits a and b of the hash as
     signs; the products are pairwise independent, and one matrix product finds all sums. Ties take the sign of the
     shingle with the smallest hash. Texts without words have zeros.
     """
-    h = shingle_hashes(text, shingle, seed)
     if not len(h):
         return 0, bytes(WIDE // 8)
     total, gram = np.zeros(64, np.float64), np.zeros((64, 64), np.float64)
@@ -177,36 +175,36 @@ def bits_apart(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def key_bits(rows: int) -> int:
-    """Bits of a block such that a block holds less than one fingerprint by chance."""
-    return min(28, max(16, (4 * max(rows, 1) - 1).bit_length()))
+#: Blocks that fingerprints are joined on: so many tables, and in each so many bits of the fingerprint and so many minima of shingle hashes.
+TABLES, BITS, MINIMA = 42, 8, 3
 
 
-def table_count(width: int, similarity: float) -> int:
-    """Blocks of this width that find a pair of this similarity as often as TABLES blocks of the least width do."""
-    same = 1 - bits_apart(similarity)
-    return max(TABLES, math.ceil(TABLES * math.log1p(-(same ** key_bits(0))) / math.log1p(-(same**width)))) if 0 < same < 1 else TABLES
+def block_recall(similarity: float, tables: int = TABLES, bits: int = BITS, minima: int = MINIMA) -> float:
+    """Probability that two texts of this similarity share a block. It doesn't depend on the size of the corpus."""
+    return 1 - (1 - (1 - bits_apart(similarity)) ** bits * similarity**minima) ** tables
 
 
-def block_keys(width: int, tables: int) -> Callable[[Column], Column]:
-    """Keys of wide fingerprints: bits by seeded permutations of all, each cut into blocks; the table is in the upper half."""
-    per = WIDE // width
-    order = np.concatenate([np.random.default_rng(i).permutation(WIDE)[: per * width] for i in range(-(-tables // per))])[: tables * width]
+def _drawn(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
 
-    @F.pandas_udf("array<bigint>")
-    def keys(wides: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in wides:
-            out = []
-            for at in range(0, len(s), 256):
-                some = s.iloc[at : at + 256]
-                bits = np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=1)
-                packed = np.packbits(bits[:, order].reshape(len(some), tables, width), axis=2, bitorder="little")
-                padded = np.zeros((len(some), tables, 4), np.uint8)
-                padded[:, :, : packed.shape[2]] = packed
-                out += list(padded.view("<u4")[:, :, 0].astype(np.int64) | np.arange(tables, dtype=np.int64) << 32)
-            yield pd.Series(out, dtype=object)
 
-    return keys
+#: Which bits a table takes, and the constants that give each minimum an order of shingles of its own.
+_ORDER = np.concatenate([np.random.default_rng(i).permutation(WIDE)[: WIDE // BITS * BITS] for i in range(-(-TABLES // (WIDE // BITS)))])[: TABLES * BITS]
+_FLIPS, _FACTORS = _drawn(101, TABLES * MINIMA), _drawn(102, TABLES * MINIMA) | np.uint64(1)
+
+
+def block_keys(h: np.ndarray, wide: bytes) -> np.ndarray:
+    """A key for each table: a hash of the table's number, its bits of the wide fingerprint and its minima of the shingle hashes h."""
+    least = np.full(TABLES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1 << 11):
+        mixed = (h[at : at + (1 << 11), None] ^ _FLIPS) * _FACTORS
+        least = np.minimum(least, mixed.min(0))
+    bits = np.unpackbits(np.frombuffer(wide, np.uint8), bitorder="little")[_ORDER].reshape(TABLES, BITS)
+    key = np.arange(1, TABLES + 1, dtype=np.uint64) << np.uint64(32) | np.packbits(bits, axis=1)[:, 0].astype(np.uint64)
+    for x in least.reshape(TABLES, MINIMA).T:
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view("<i8")
 
 
 def _bits(hexed: Column, at: int, width: int) -> Column:
@@ -216,38 +214,44 @@ def _bits(hexed: Column, at: int, width: int) -> Column:
     return F.shiftright(part, 4 * digits - width - at % 4).bitwiseAND(F.lit((1 << width) - 1))
 
 
-#: Blocks of the least width that fingerprints are joined on (more of wider ones), and those that the rest of a large bucket is joined on besides.
-TABLES, SUBTABLES, SUBWIDTH, LEVELS = 80, 6, 6, 6
+#: Blocks of further bits that the rest of a large bucket is joined on.
+SUBTABLES, SUBWIDTH = 6, 6
 
 
 def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) between nodes whose sets of word shingles are as similar or more, and membership (row, node).
 
-    docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. Nodes are joined on blocks
-    of key_bits() bits, drawn from the wide fingerprint, and on so many that two nodes at the similarity share one with
-    the same probability at each size of the corpus (0.9975 at 0.8). What meets in a block is held to a Hamming distance
-    of 64 bits first, then of all 2016 (three standard deviations beyond the expected one), then to the sets of shingles.
+    docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. Nodes are joined on blocks:
+    BITS bits of the wide fingerprint together with MINIMA minima of shingle hashes under orders of their own. A pair at the
+    similarity shares one of the TABLES blocks with a probability of block_recall() (0.998 at 0.8) at each size of the
+    corpus; the minima keep apart what is not alike, which bits alone can only do by growing wider, and rarer, with the
+    corpus. What meets in a block is held to a Hamming distance of 64 bits first, then of all 2016 (three standard
+    deviations beyond the expected one), then to the sets of shingles.
 
     Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared by all bits to its
     leader, the open node nearest to the majority of the bucket's bits (of copies with small changes, the original or one
-    like it), those that it leaves to a second one; the rest is joined on further blocks within the bucket, and so on; what
-    is left in large buckets after ``LEVELS`` levels (nodes that share a block at each level but aren't near any leader) is
-    compared pair by pair. A node that is linked is no longer open: it needs no pair with others of the kind, but stays
-    as long as an open node of the bucket may be near it (by the triangle inequality over the distances to the leader).
+    like it), those that it leaves to a second one; the rest is joined on further blocks within the bucket, and so on until
+    no large bucket is left (a leader leaves its bucket, so each step shrinks each bucket). A node that is linked is no
+    longer open: it needs no pair with others of the kind, but stays as long as an open node of the bucket may be near it
+    (by the triangle inequality over the distances to the leader).
     """
 
-    @F.pandas_udf("struct<fp: bigint, wide: binary>")
+    @F.pandas_udf("struct<fp: bigint, wide: binary, keys: array<bigint>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            yield pd.DataFrame([wide_fingerprint(t) for t in s], columns=["fp", "wide"])
-
-    made = docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.wide", F.xxhash64("x.wide").alias("hash"))
+            rows = []
+            for t in s:
+                h = shingle_hashes(t)
+                fp, wide = wide_fingerprint(h)
+                rows.append((fp, wide, block_keys(h, wide)))
+            yield pd.DataFrame(rows, columns=["fp", "wide", "keys"])
+
+    made = docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.wide", "x.keys", F.xxhash64("x.wide").alias("hash"))
     made = materialise(made, "wide-fingerprints")
-    nodes = made.groupBy("fp", "hash").agg(F.min(F.struct("row", "wide")).alias("m")).select("fp", "hash", F.col("m.row").alias("node"), "m.wide")
-    nodes = materialise(nodes, "wide-nodes")
-    members = made.select("row", "fp", "hash").join(nodes.select("fp", "hash", "node"), ["fp", "hash"]).select("row", "node")
-    wide = nodes.select("node", "wide")
-    width = key_bits(nodes.count())
+    nodes = materialise(made.groupBy("fp", "hash").agg(F.min("row").alias("node")), "wide-nodes")
+    members = made.select("row", "fp", "hash").join(nodes, ["fp", "hash"]).select("row", "node")
+    firsts = made.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").dropDuplicates(["row"])
+    wide = firsts.select(F.col("row").alias("node"), "wide")
     apart = bits_apart(similarity)
     near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
     spread = (WIDE * apart * (1 - apart)) ** 0.5
@@ -273,10 +277,9 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
         distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return materialise(both.select("u", "v", distance.alias("d")), "wide-distances")
 
-    tables = table_count(width, similarity)
-    open_ = counted(nodes.select("node", "fp", F.lit(True).alias("open"), F.explode(block_keys(width, tables)("wide")).alias("key")))
+    open_ = counted(firsts.select(F.col("row").alias("node"), "fp", F.lit(True).alias("open"), F.explode("keys").alias("key")))
     found, linked = [], []
-    for step in range(2 * LEVELS):
+    for step in count():
         found.append(paired(open_.where(F.col("n") <= bucket)))
         large = open_.where(F.col("n") > bucket)
         if large.isEmpty():
@@ -293,9 +296,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
         large = materialise(large.join(distances, ["u", "v"]).withColumn("open", F.col("open") & (F.col("d") > sure)), "wide-large")
         ring = large.where("open").groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
         rest = large.join(ring, "key").where(F.col("open") | F.col("d").between(F.col("lo") - near, F.col("hi") + near)).select("key", "node", "fp", "open")
-        if step == 2 * LEVELS - 1:
-            found.append(paired(rest))
-        elif step % 2 == 0:
+        if step % 2 == 0:
             open_ = counted(rest)  # a second leader for those that the first left
         else:
             first = step // 2 * SUBTABLES * SUBWIDTH

@@ -116,13 +116,24 @@ def test_near_copies_in_blocks_of_half_similar_texts(spark):
     assert sum(root.get(i, i) == root.get(j, j) for i, j in alike) >= 0.99 * len(alike)
 
 
-def test_recall_does_not_fall_with_size():
-    from quirelight.llm.simhash import bits_apart, key_bits, table_count
+def test_blocks_find_pairs_as_often_as_the_formula_says():
+    """Blocks are the same at every size of the corpus: pairs at the threshold, measured on texts."""
+    from quirelight.llm.simhash import block_keys, block_recall, shingle_hashes, wide_fingerprint
 
-    same = 1 - bits_apart(0.8)
-    for rows in (100, 10_000, 250_000, 3_000_000, 15_000_000, 60_000_000):
-        width = key_bits(rows)
-        assert 1 - (1 - same**width) ** table_count(width, 0.8) >= 0.997
+    assert block_recall(0.8) >= 0.997
+    rng, met, sims = random.Random(13), [], []
+    for _ in range(400):
+        w = [f"v{rng.randrange(10**9)}" for _ in range(300)]
+        x = list(w)
+        for k in rng.sample(range(5, 295), 6):
+            x[k] = f"x{rng.randrange(10**9)}"
+        a, b = shingle_hashes(" ".join(w)), shingle_hashes(" ".join(x))
+        common = len(set(a.tolist()) & set(b.tolist()))
+        sims.append(common / (len(a) + len(b) - common))
+        ka, kb = (block_keys(h, wide_fingerprint(h)[1]) for h in (a, b))
+        met.append(bool((ka == kb).any()))
+    assert sum(sims) / len(sims) < 0.84
+    assert sum(met) / len(met) >= 0.99
 
 
 def test_links_are_held_to_shingle_sets(spark):
