@@ -140,6 +140,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 #: Bits of a wide fingerprint: products of two of the 64 signs of a shingle's hash.
 PAIRS = np.triu_indices(64, 1)
 WIDE = len(PAIRS[0])
+#: Words of 64 bits that are full of them.
+WORDS = WIDE // 64
 
 
 def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -207,18 +209,11 @@ def block_keys(h: np.ndarray, wide: bytes) -> np.ndarray:
     return key.view("<i8")
 
 
-def _bits(hexed: Column, at: int, width: int) -> Column:
-    """Bits at .. at + width of a wide fingerprint in hexadecimal, as a number (any window of bits serves alike)."""
-    digits = -(-width // 4) + 1
-    part = F.conv(F.substring(hexed, at // 4 + 1, digits), 16, 10).cast("long")
-    return F.shiftright(part, 4 * digits - width - at % 4).bitwiseAND(F.lit((1 << width) - 1))
-
-
 #: Blocks of further bits that the rest of a large bucket is joined on.
-SUBTABLES, SUBWIDTH = 6, 6
+SUBTABLES, SUBWIDTH = 12, 10
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) between nodes whose sets of word shingles are as similar or more, and membership (row, node).
 
     docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. Nodes are joined on blocks:
@@ -236,22 +231,22 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
     (by the triangle inequality over the distances to the leader).
     """
 
-    @F.pandas_udf("struct<fp: bigint, wide: binary, keys: array<bigint>>")
+    @F.pandas_udf("struct<fp: bigint, words: array<bigint>, keys: array<bigint>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             rows = []
             for t in s:
                 h = shingle_hashes(t)
                 fp, wide = wide_fingerprint(h)
-                rows.append((fp, wide, block_keys(h, wide)))
-            yield pd.DataFrame(rows, columns=["fp", "wide", "keys"])
+                rows.append((fp, np.frombuffer(wide + bytes(-len(wide) % 8), "<i8"), block_keys(h, wide)))
+            yield pd.DataFrame(rows, columns=["fp", "words", "keys"])
 
-    made = docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.wide", "x.keys", F.xxhash64("x.wide").alias("hash"))
+    made = docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.words", "x.keys", F.xxhash64("x.words").alias("hash"))
     made = materialise(made, "wide-fingerprints")
     nodes = materialise(made.groupBy("fp", "hash").agg(F.min("row").alias("node")), "wide-nodes")
     members = made.select("row", "fp", "hash").join(nodes, ["fp", "hash"]).select("row", "node")
     firsts = made.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").dropDuplicates(["row"])
-    wide = firsts.select(F.col("row").alias("node"), "wide")
+    wide = firsts.select(F.col("row").alias("node"), "words")
     apart = bits_apart(similarity)
     near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
     spread = (WIDE * apart * (1 - apart)) ** 0.5
@@ -269,11 +264,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
 
     def measured(pairs: DataFrame) -> DataFrame:
         """Rows (u, v, d) of pairs (u, v): the distance in all bits."""
-        ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
-        longs = F.transform(F.sequence(F.lit(0), F.lit(WIDE // 32 - 1)), lambda i: F.conv(F.substr("hexed", i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-        words = wide.join(ends, "node", "left_semi").withColumn("hexed", F.hex("wide")).select("node", longs.alias("words"))
-        words = materialise(words, "wide-words")
-        both = pairs.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
+        both = pairs.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
         distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return materialise(both.select("u", "v", distance.alias("d")), "wide-distances")
 
@@ -299,10 +290,11 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 4) ->
         if step % 2 == 0:
             open_ = counted(rest)  # a second leader for those that the first left
         else:
-            first = step // 2 * SUBTABLES * SUBWIDTH
-            sub = F.array(*(F.xxhash64("key", F.lit(i), _bits(F.col("hexed"), (first + i * SUBWIDTH) % (WIDE - SUBWIDTH), SUBWIDTH)) for i in range(SUBTABLES)))
-            again = rest.join(wide, "node").select("key", "node", "fp", "open", F.hex("wide").alias("hexed"))
-            open_ = counted(again.select("node", "fp", "open", F.explode(sub).alias("key")))
+            place = [step // 2 * SUBTABLES + i for i in range(SUBTABLES)]
+            bits = [F.shiftright(F.col("words")[n % WORDS], n // WORDS * SUBWIDTH % (64 - SUBWIDTH)).bitwiseAND(F.lit((1 << SUBWIDTH) - 1)) for n in place]
+            sub = F.array(*(F.xxhash64("key", F.lit(i), x) for i, x in enumerate(bits)))
+            again = rest.join(wide, "node").select("node", "fp", "open", F.explode(sub).alias("key"))
+            open_ = counted(again)
     candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "wide-candidates")
     near_ones = measured(candidates).where(F.col("d") <= near).select("u", "v")
     near_ones = materialise(reduce(DataFrame.unionByName, linked, near_ones).distinct(), "wide-near")
