@@ -213,7 +213,7 @@ def block_keys(h: np.ndarray, wide: bytes) -> np.ndarray:
 SUBTABLES, SUBWIDTH = 12, 10
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) between nodes whose sets of word shingles are as similar or more, and membership (row, node).
 
     docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. Nodes are joined on blocks:
@@ -225,8 +225,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32) ->
 
     Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared by all bits to its
     leader, the open node nearest to the majority of the bucket's bits (of copies with small changes, the original or one
-    like it), those that it leaves to a second one; the rest is joined on further blocks within the bucket, and so on until
-    no large bucket is left (a leader leaves its bucket, so each step shrinks each bucket). A node that is linked is no
+    like it); the rest is joined on further blocks within the bucket, and so on until no large bucket is left (a leader
+    leaves its bucket, so each step shrinks each bucket). A node that is linked is no
     longer open: it needs no pair with others of the kind, but stays as long as an open node of the bucket may be near it
     (by the triangle inequality over the distances to the leader).
     """
@@ -246,7 +246,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32) ->
     nodes = materialise(made.groupBy("fp", "hash").agg(F.min("row").alias("node")), "wide-nodes")
     members = made.select("row", "fp", "hash").join(nodes, ["fp", "hash"]).select("row", "node")
     firsts = made.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").dropDuplicates(["row"])
-    wide = firsts.select(F.col("row").alias("node"), "words")
+    firsts = materialise(firsts.select(F.col("row").alias("node"), "fp", "words", "keys"), "wide-firsts")
+    wide = firsts.select("node", "words")
     apart = bits_apart(similarity)
     near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
     spread = (WIDE * apart * (1 - apart)) ** 0.5
@@ -262,19 +263,21 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32) ->
         mate = rows.select("key", F.col("node").alias("v"), F.col("fp").alias("other"), F.col("open").alias("too"))
         return rows.join(mate, "key").where("node < v and (open or too)").where(close).select(F.col("node").alias("u"), "v")
 
-    def measured(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame, wide: DataFrame) -> DataFrame:
         """Rows (u, v, d) of pairs (u, v): the distance in all bits."""
         both = pairs.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
         distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return materialise(both.select("u", "v", distance.alias("d")), "wide-distances")
 
-    open_ = counted(firsts.select(F.col("row").alias("node"), "fp", F.lit(True).alias("open"), F.explode("keys").alias("key")))
+    open_ = counted(firsts.select("node", "fp", F.lit(True).alias("open"), F.explode("keys").alias("key")))
     found, linked = [], []
     for step in count():
         found.append(paired(open_.where(F.col("n") <= bucket)))
         large = open_.where(F.col("n") > bucket)
         if large.isEmpty():
             break
+        if step == 0:
+            hot = materialise(wide.join(large.select("node").distinct(), "node", "left_semi"), "wide-hot")
         bits = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
         middle = reduce(Column.bitwiseOR, (F.when(2 * F.col(f"b{i}") > F.col("size"), F.lit(_signed(1 << i))).otherwise(0) for i in range(64)))
         middle = large.where("open").groupBy("key").agg(F.count("*").alias("size"), *bits).select("key", middle.alias("middle"))
@@ -282,21 +285,17 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 32) ->
         lead = large.where("open").join(middle, "key").groupBy("key").agg(F.min_by(F.struct("node", "fp"), F.struct(from_middle, F.xxhash64("node"))).alias("lead"))
         large = large.join(lead, "key").where("node <> lead.node").select("key", "node", "fp", "open", F.least("lead.node", "node").alias("u"), F.greatest("lead.node", "node").alias("v"))
         large = materialise(large, "wide-large")
-        distances = measured(large.select("u", "v").distinct())
+        distances = measured(large.select("u", "v").distinct(), hot)
         linked.append(distances.where(F.col("d") <= near).select("u", "v"))
         large = materialise(large.join(distances, ["u", "v"]).withColumn("open", F.col("open") & (F.col("d") > sure)), "wide-large")
         ring = large.where("open").groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
         rest = large.join(ring, "key").where(F.col("open") | F.col("d").between(F.col("lo") - near, F.col("hi") + near)).select("key", "node", "fp", "open")
-        if step % 2 == 0:
-            open_ = counted(rest)  # a second leader for those that the first left
-        else:
-            place = [step // 2 * SUBTABLES + i for i in range(SUBTABLES)]
-            bits = [F.shiftright(F.col("words")[n % WORDS], n // WORDS * SUBWIDTH % (64 - SUBWIDTH)).bitwiseAND(F.lit((1 << SUBWIDTH) - 1)) for n in place]
-            sub = F.array(*(F.xxhash64("key", F.lit(i), x) for i, x in enumerate(bits)))
-            again = rest.join(wide, "node").select("node", "fp", "open", F.explode(sub).alias("key"))
-            open_ = counted(again)
+        place = [step * SUBTABLES + i for i in range(SUBTABLES)]
+        bits = [F.shiftright(F.col("words")[n % WORDS], n // WORDS * SUBWIDTH % (64 - SUBWIDTH)).bitwiseAND(F.lit((1 << SUBWIDTH) - 1)) for n in place]
+        sub = F.array(*(F.xxhash64("key", F.lit(i), x) for i, x in enumerate(bits)))
+        open_ = counted(rest.join(hot, "node").select("node", "fp", "open", F.explode(sub).alias("key")))
     candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "wide-candidates")
-    near_ones = measured(candidates).where(F.col("d") <= near).select("u", "v")
+    near_ones = measured(candidates, wide).where(F.col("d") <= near).select("u", "v")
     near_ones = materialise(reduce(DataFrame.unionByName, linked, near_ones).distinct(), "wide-near")
 
     @F.pandas_udf("array<bigint>")
