@@ -1,20 +1,25 @@
 """Main text of web pages, with site templates removed.
 
-Block elements outside the article are hashed as subtrees (their source, white space made one space), counted by host
-in Spark, and deleted where they recur on many pages of that host. What recurs is counted over pages that differ in
-their longest block, so that copies of one page don't make it a template, and nothing inside an article is counted or
-deleted: passages that many articles share are text. Elements whose tag, role, class or id says that they are a menu,
-header, footer, sidebar, notice, advert, form, script, style or reader comment are deleted on every page.
-
-The counts are two partial aggregates; a template must be on ``share`` of a host's pages, so a host has only as many as
-a few pages have blocks. They reach the pages by a join on the host, broadcast only if their number is small.
+Block elements are hashed as subtrees, bottom up (an element's tag, its text with white space made one space, its
+children's digests), counted by host in Spark, and deleted where they recur on many differing pages of that host.
+Pages differ if their texts do, so copies of one page don't make it a template. A subtree outside articles is counted
+by its path of tags. Inside an article or <main>, where passages that articles share are text, it is counted with its
+place besides: its number from its parent's start, or from its end, up to ``EDGE``; and it must be on more of the
+host's pages. Elements whose tag, role, class or id says that they are a menu, header, footer, sidebar, notice, advert,
+form, script, style or reader comment are deleted on every page; a class says so by the last word of a name that isn't
+a mere container's (``cookie-notice``, ``share-box``; not ``notice-of-theorem``).
+
+How many pages make a template: ``share`` of the host's differing pages (``inside`` of them within articles), at least
+8, or on hosts of fewer than 14 pages three fifths of them, at least 3. The counts are two partial aggregates. Templates
+reach the pages by a join on the host, broadcast only if their number is small.
 
 Text: blocks of the outermost articles if there are any, else of <main>, else of the body; character references are
 decoded, white space inside a block becomes one space (a line break and a table cell's end are white space), blocks are
-trimmed, empty ones left out, the rest joined by a line feed.
+trimmed, empty ones left out, the rest joined by a line feed. A page is read once, in time in proportion to its length.
 
 Cases: a null page is empty and gives an empty text; broken markup is read as far as it goes (open elements end with the
-page); repeated pages get a row each; null urls are a host of their own; other columns are ignored.
+page, a tag that never ends is text); repeated pages get a row each; null urls are a host of their own; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Elements by kind, after the HTML standard.
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "noembed", "noframes", "xmp"}
@@ -52,12 +57,36 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACES = re.compile(r"\s+")
 
 
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HEADER_WORDS = {"header", "masthead", "banner"}
+#: Words of class names that only say that something is held.
+CONTAINERS = set("area bar block body bottom box btn button buttons card cards cell col column container content footer grid group holder icons inner item items layer left link links list module outer pane panel right row section sections slot tile title top unit units wrap wrapper zone".split())
+#: What says of an article or its title that it is none of the page's own.
+NO_ARTICLE = {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"}
+
+
+def _heads(name: str) -> set[str]:
+    """The words that name what each class or id is: the last word of it, or the last that isn't a container's."""
+    out = set()
+    for token in name.split():
+        words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+        while len(words) > 1 and words[-1] in CONTAINERS and words[-1] not in DROP_WORDS:
+            words.pop()
+        out.update(words[-1:])
+    return out
+
+
+def _named(source: str) -> set[str]:
+    found = set()
+    for m in ATTR.finditer(source):
+        if m[1].lower() in ("class", "id"):
+            found |= _heads(unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
 def _is_header(source: str) -> bool:
     """Whether the class or id calls an element a header and nothing else that is dropped."""
-    words = {w for m in ATTR.finditer(source) if m[1].lower() in ("class", "id") for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())}
+    words = _named(source)
     return bool(words & HEADER_WORDS) and not words & (DROP_WORDS - HEADER_WORDS)
 
 
@@ -67,106 +96,145 @@ def _says_drop(tag: str, source: str) -> bool:
     if not source or source.isspace():
         return False
     for m in ATTR.finditer(source):
-        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-            if tag not in ("html", "body", "article", "main", "h1") and not DROP_WORDS.isdisjoint(words):
-                return True
-            if tag in ("article", "h1") and not {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"}.isdisjoint(words):
+            words = _heads(unescape(value))
+            if tag in ("article", "h1"):
+                if words & NO_ARTICLE:
+                    return True
+            elif tag not in ("html", "body", "main") and words & (DROP_WORDS - HEADER_WORDS if tag in HEADINGS else DROP_WORDS):
                 return True
         elif name == "role" and value.lower() in DROP_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return True
     return False
 
 
+def _hash(data: bytes) -> int:
+    h = xxhash.xxh64_intdigest(data)
+    return h - ((h >> 63) << 64)
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+class Open:
+    """An open element: whether all below is dropped, its region (2 article, 1 main, 0 body), whether in it only headings
+    count (an article's header), the blocks before it, what is to be hashed, its path of tags, its place among its
+    parent's block elements, how many of these it has, and its record if it is a block element."""
+
+    __slots__ = ("tag", "dropped", "region", "heads", "blocks", "parts", "path", "place", "children")
+
+    def __init__(self, tag: str, dropped: bool, region: int, heads: bool, blocks: int, path: bytes, place: int):
+        self.tag, self.dropped, self.region, self.heads, self.blocks, self.path, self.place = tag, dropped, region, heads, blocks, path, place
+        self.parts, self.children = [tag.encode()], []
+
+
+#: Places from a parent's start or end at which a subtree inside an article may be a template.
+EDGE = 4
+
+
 class Page:
-    """One page, read once: blocks by region (2 article, 1 main, 0 body), subtrees outside both."""
+    """One page, read once: blocks by region, and the subtrees that hold some."""
 
-    def __init__(self, source: str | None, templates: frozenset[int] | set[int] = frozenset()):
+    def __init__(self, source: str | None):
         self.html = source or ""
         self.blocks: list[tuple[int, str]] = []
-        self.subtrees: set[int] = set()
+        #: Subtrees of block elements: region, first block, block after the last, digest, path, place from the start, from the end.
+        self.subtrees: list[list] = []
         self._words: list[str] = []
-        # Open elements: tag, start in the source, blocks so far, whether all below is dropped, region, inside an article's header.
-        self._open: list[tuple[str, int, int, bool, int, bool]] = []
-        self._templates = templates
+        self._root = Open("", False, 0, False, 0, b"", 0)
+        self._open: list[Open] = [self._root]
+        # Where in the list of open elements each tag is, and where block elements are.
+        self._at: dict[str, list[int]] = {}
+        self._block_at: list[int] = [0]
+        self._in_headings = 0
         self._read()
+        self.region = max((r for r, _ in self.blocks), default=0)
 
     def _text(self, piece: str) -> None:
-        if piece:
-            dropped = self._open and self._open[-1][3]
-            if not dropped:
-                self._words.append(piece)
+        if piece and not self._open[-1].dropped:
+            self._words.append(piece)
 
     def _end_block(self) -> None:
         if self._words:
             text = " ".join(unescape("".join(self._words)).split())
             self._words = []
-            if text:
-                _, _, _, _, region, heads = self._open[-1] if self._open else ("", 0, 0, False, 0, False)
-                if not heads or any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in self._open):
-                    self.blocks.append((region, text))
-
-    def _close(self, end: int) -> None:
-        tag, start, blocks, dropped, region, _ = self._open[-1]
-        if tag in BLOCK:
+            top = self._open[-1]
+            if text and (not top.heads or self._in_headings):
+                self.blocks.append((top.region, text))
+                self._open[self._block_at[-1]].parts.append(b"t" + _bytes(text) + b"\0")
+
+    def _close(self) -> None:
+        top = self._open[-1]
+        if top.tag in BLOCK:
             self._end_block()
         self._open.pop()
-        if tag in BLOCK and region == 0 and tag not in ("html", "body", "head"):
-            h = xxhash.xxh64_intdigest(SPACES.sub(" ", self.html[start:end]).encode("utf-8", "surrogatepass"))
-            h -= (h >> 63) << 64
-            if not any(r for r, _ in self.blocks[blocks:]):
-                self.subtrees.add(h)
-                if h in self._templates:
-                    del self.blocks[blocks:]
-
-    def _start(self, tag: str, attrs: str, at: int) -> None:
-        open_ = self._open
+        self._at[top.tag].pop()
+        if top.tag in HEADINGS:
+            self._in_headings -= 1
+        if top.tag in BLOCK:
+            self._block_at.pop()
+            above = self._open[self._block_at[-1]]
+            digest = xxhash.xxh64_digest(b"".join(top.parts))
+            above.parts.append(b"e" + digest)
+            for child in top.children:
+                child[6] = len(top.children) - 1 - child[5]
+            if len(self.blocks) > top.blocks:
+                record = [top.region, top.blocks, len(self.blocks), digest, top.path, len(above.children), 0]
+                above.children.append(record)
+                self.subtrees.append(record)
+
+    def _close_to(self, i: int) -> None:
+        while len(self._open) > i:
+            self._close()
+
+    def _last(self, tags) -> int:
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=-1)
+
+    def _start(self, tag: str, attrs: str) -> None:
         if tag in CLOSES_P:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == "p":
-                    while len(open_) > i:
-                        self._close(at)
-                    break
-                if open_[i][0] in ("button", "td", "th", "table", "caption", "object"):
-                    break
+            p = self._last(("p",))
+            if p > 0 and p > self._last(("button", "td", "th", "table", "caption", "object")):
+                self._close_to(p)
         if tag in IMPLIED:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] in IMPLIED[tag]:
-                    while len(open_) > i:
-                        self._close(at)
-                    if tag != "tr":
-                        break
-                elif open_[i][0] in SCOPE[tag]:
+            scope = self._last(SCOPE[tag])
+            while (i := self._last(IMPLIED[tag])) > scope:
+                self._close_to(i)
+                if tag != "tr":
                     break
         if tag in BLOCK:
             self._end_block()
-        elif tag in SPACE and not (open_ and open_[-1][3]):
-            self._words.append(" ")
+        elif tag in SPACE:
+            self._text(" ")
         if tag in VOID:
             return
-        _, _, _, dropped, region, heads = open_[-1] if open_ else ("", 0, 0, False, 0, False)
+        top = self._open[-1]
+        dropped, region, heads = top.dropped, top.region, top.heads
         if not dropped:
             if tag == "header":
-                if region == 2:
-                    heads = True
-                else:
-                    dropped = True
-            if not dropped and _says_drop(tag, attrs):
+                heads, dropped = region == 2 or heads, region != 2
+            elif _says_drop(tag, attrs):
                 # The header of an article holds its headings.
-                if region == 2 and tag in ("div", "section", "hgroup") and _is_header(attrs):
-                    heads = True
-                else:
-                    dropped = True
+                header = region == 2 and tag in ("div", "section", "hgroup") and _is_header(attrs)
+                heads, dropped = heads or header, not header
             if tag == "article":
                 region = 2
             elif (tag == "main" or "main" in attrs and re.search(r"""\brole\s*=\s*["']?main\b""", attrs)) and region == 0:
                 region = 1
-        open_.append((tag, at, len(self.blocks), dropped, region, heads))
+        block = tag in BLOCK
+        path = xxhash.xxh64_digest(top.path + tag.encode()) if block else top.path
+        self._at.setdefault(tag, []).append(len(self._open))
+        if block:
+            self._block_at.append(len(self._open))
+        if tag in HEADINGS:
+            self._in_headings += 1
+        self._open.append(Open(tag, dropped, region, heads, len(self.blocks), path, 0))
 
     def _read(self) -> None:
         html, at, find = self.html, 0, TAG.search
-        while True:
+        ends = html.rfind(">")
+        while at <= ends:
             m = find(html, at)
             if not m:
                 break
@@ -178,38 +246,49 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                if tag in ("br", "p") and not any(x[0] == tag for x in self._open):
+                i = self._last((tag,))
+                if i > 0 and (tag in BLOCK or i > self._block_at[-1]):
+                    self._close_to(i)
+                elif tag in ("br", "p"):
+                    self._text(" ")
+                if tag in SPACE:
                     self._text(" ")
-                    continue
-                for i in range(len(self._open) - 1, -1, -1):
-                    if self._open[i][0] == tag:
-                        while len(self._open) > i:
-                            self._close(at)
-                        break
-                    if tag not in BLOCK and self._open[i][0] in BLOCK:
-                        break
-                if tag in SPACE and not (self._open and self._open[-1][3]):
-                    self._words.append(" ")
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
                 continue
-            self._start(tag, m[3], m.start())
+            self._start(tag, m[3])
         if at < len(html):
             self._text(html[at:])
-        while self._open:
-            self._close(len(html))
+        self._close_to(1)
         self._end_block()
 
-    def text(self) -> str:
-        best = max((r for r, _ in self.blocks), default=0)
-        return "\n".join(t for r, t in self.blocks if r == best)
+    def keys(self) -> dict[int, tuple[int, int]]:
+        """Blocks (from, to) by the key of their subtree, in the region that makes the text; even keys are of article or main."""
+        out = {}
+        for region, lo, hi, digest, path, first, last in self.subtrees:
+            if region != self.region or not region and path == b"":
+                continue
+            if not region:
+                out.setdefault(_hash(digest + path) | 1, []).append((lo, hi))
+                continue
+            for side, place in ((b"<", first), (b">", last)):
+                if place < EDGE:
+                    out.setdefault(_hash(digest + path + side + bytes([place])) & ~1, []).append((lo, hi))
+        return out
+
+    def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
+        gone = set()
+        if templates:
+            for key, spans in self.keys().items():
+                if key in templates:
+                    for lo, hi in spans:
+                        gone.update(range(lo, hi))
+        return "\n".join(t for i, (r, t) in enumerate(self.blocks) if r == self.region and i not in gone)
 
     def identity(self) -> int:
-        longest = max((t for _, t in self.blocks), key=len, default="")
-        h = xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass"))
-        return h - ((h >> 63) << 64)
+        return _hash(b"\0".join(_bytes(t) for _, t in self.blocks))
 
 
 def host_of(url: Column) -> Column:
@@ -217,24 +296,26 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """Rows (host, page, subtree): block subtrees outside articles; page identifies the longest block."""
+    """Rows (host, page, subtree): keys of block subtrees; page identifies the text of all blocks."""
 
     @F.pandas_udf("struct<page: bigint, subtrees: array<bigint>>")
     def of(htmls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in htmls:
             read = [Page(x) for x in s]
-            yield pd.DataFrame({"page": [p.identity() for p in read], "subtrees": [sorted(p.subtrees) for p in read]})
+            yield pd.DataFrame({"page": [p.identity() for p in read], "subtrees": [sorted(p.keys()) for p in read]})
 
     rows = pages.select("host", of("html").alias("x"))
     return rows.select("host", F.col("x.page").alias("page"), F.explode_outer("x.subtrees").alias("subtree"))
 
 
-def templates(pages: DataFrame, least: int = 8, share: float = 0.2) -> DataFrame:
-    """Rows (host, templates array<bigint>): subtrees on at least ``least`` and ``share`` of a host's differing pages."""
+def templates(pages: DataFrame, share: float = 0.02, inside: float = 0.5) -> DataFrame:
+    """Rows (host, templates array<bigint>): subtrees on as many of a host's differing pages as make a template."""
     seen = materialise(subtrees(pages).distinct(), "html-subtrees")
     hosts = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n"))
-    counts = seen.where("subtree is not null").groupBy("host", "subtree").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    kept = counts.join(hosts, "host").where(F.col("c") >= F.lit(share) * F.col("n"))
+    counts = seen.where("subtree is not null").groupBy("host", "subtree").agg(F.count("*").alias("c")).where("c >= 3")
+    least = F.least(F.lit(8), F.ceil(F.col("n") * F.lit(0.6)))
+    part = F.when(F.col("subtree") % 2 == 0, F.lit(inside)).otherwise(F.lit(share))
+    kept = counts.join(hosts, "host").where((F.col("c") >= least) & (F.col("c") >= part * F.col("n")))
     return kept.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("templates"))
 
 
@@ -244,7 +325,7 @@ def main_text(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
     @F.pandas_udf("string")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for htmls, found in batches:
-            yield pd.Series([Page(h, set() if t is None else set(map(int, t))).text() for h, t in zip(htmls, found)], dtype=object)
+            yield pd.Series([Page(h).text(set() if t is None else set(map(int, t))) for h, t in zip(htmls, found)], dtype=object)
 
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     known = materialise(templates(rows.select("host", "html")), "html-templates")
