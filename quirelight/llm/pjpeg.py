@@ -10,7 +10,8 @@ Entropy decoding is bound to be one symbol after another within a restart segmen
 files of a batch are decoded side by side, a symbol of each at a time. In refinement scans only symbols are decoded
 that way; correction bits, nearly all of the data, are located by prefix sums and applied at once.
 
-``encode_batch`` stores bytes losslessly, one byte less 128 a coefficient: first scans with the lowest bit left out
+``encode_batch`` stores bytes losslessly, a coefficient each, common bytes of texts as small values (``BYTE_OF``), so
+that the file is smaller than the text: first scans with the lowest bit left out
 (DC, then AC of each component, luminance in two bands), then a refinement scan for each. The payload's length is in a
 comment segment. Chroma is sampled 2 x 2. Equal payloads give equal files.
 
@@ -29,10 +30,10 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembered, table
+from .common import free_name, materialise, remembered, table, unlike
 
 BATCH_BYTES = 1 << 19
 RESTART = 8
@@ -60,9 +61,24 @@ def canonical(lengths: dict[int, int]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return counts + bytes(order), codes, sizes
 
 
+#: Bytes that texts are mostly made of, most frequent first: letters of Latin scripts, UTF-8's lead byte, padding, points.
+COMMON = b" enitarsdlouchm\xc3g\x00fpbw.y,vkqz\nxj"
+
+
+def _byte_of() -> np.ndarray:
+    """The byte of each coefficient value (from -128): by magnitude from 2 on, then those whose first bit is in the refinement."""
+    values = sorted(range(-128, 128), key=lambda v: (abs(v) < 2 or v == -128, abs(v), v))
+    out = np.empty(256, np.uint8)
+    out[np.array(values) + 128] = np.frombuffer(bytes(dict.fromkeys(COMMON + bytes(range(33, 256)) + bytes(range(33)))), np.uint8)
+    return out
+
+
+BYTE_OF = _byte_of()
+VALUE_OF = (np.argsort(BYTE_OF) - 128).astype(np.int16)
+
 # Code lengths: short for the sizes that texts have, 11 bits for every other symbol of AC scans.
 DC_TABLE = canonical({s: 4 for s in range(12)})
-_LENGTHS = {r << 4 | s: 11 for r in range(16) for s in range(11)} | {0x00: 5, 0x01: 5, 0x02: 3, 0x03: 3, 0x04: 2, 0x05: 4, 0x06: 3, 0x07: 5}
+_LENGTHS = {r << 4 | s: 11 for r in range(16) for s in range(11)} | {0x00: 5, 0x01: 2, 0x02: 2, 0x03: 3, 0x04: 4, 0x05: 5, 0x06: 5, 0x07: 6}
 AC_TABLE = canonical(_LENGTHS)
 
 
@@ -271,7 +287,7 @@ def encode_batch(payloads: list[bytes]) -> list[bytes]:
     coef = np.zeros((int(base[-1]), 64), np.int16)
     flat = coef.reshape(-1)
     for b, p in zip(base, payloads):
-        flat[b * 64 : b * 64 + len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) - 128
+        flat[b * 64 : b * 64 + len(p)] = VALUE_OF[np.frombuffer(p, np.uint8)]
     streams = []
     for c, ss, se, ah, al in SCANS:
         if c < 0:
@@ -598,7 +614,7 @@ def stored_payload(image: Image, coef: np.ndarray) -> bytes:
     m = re.fullmatch(rb"payload-bytes (\d+)", image.comment)
     if not m:
         raise ValueError("no payload in this file")
-    return (coef.reshape(-1)[: int(m[1])] + 128).astype(np.uint8).tobytes()
+    return BYTE_OF[coef.reshape(-1)[: int(m[1])] + 128].tobytes()
 
 
 @remembered
@@ -655,6 +671,13 @@ def batches(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[list[
         yield some
 
 
+def _with(df: DataFrame, made: Column, fields: list[str]) -> DataFrame:
+    """df with the fields of a struct as columns; they replace columns of their names, in any letter case."""
+    name = free_name(df, "_made")
+    kept = [F.col(f"`{c}`") for c in unlike(df.columns, fields)]
+    return df.withColumn(name, made).select(*kept, *(F.col(name)[x].alias(x) for x in fields))
+
+
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with columns n_bytes and media: each text's padded bytes as a progressive JPEG file."""
 
@@ -668,7 +691,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
                 files += encode_batch([p for _, p in ready])
             yield pd.DataFrame({"n_bytes": np.array(sizes, np.int64), "media": files})
 
-    return docs.withColumn("_stored", of(text)).select(*docs.columns, "_stored.n_bytes", "_stored.media")
+    return _with(docs, of(text), ["n_bytes", "media"])
 
 
 def _file_batches(files: list[bytes]) -> Iterator[list[bytes]]:
@@ -695,7 +718,7 @@ def decode(media: DataFrame, column: str = "media") -> DataFrame:
                 rows += [(i.height, i.width, t.tobytes()) for i, t in zip(images, tensors(images, coef, bases))]
             yield pd.DataFrame(rows, columns=["height", "width", "rgb"])
 
-    return media.withColumn("_tensor", of(column)).select(*media.columns, "_tensor.height", "_tensor.width", "_tensor.rgb")
+    return _with(media, of(column), ["height", "width", "rgb"])
 
 
 def digests(media: DataFrame, column: str = "media") -> DataFrame:
@@ -715,9 +738,9 @@ def digests(media: DataFrame, column: str = "media") -> DataFrame:
                     rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=fields)
 
-    return media.withColumn("_read", of(column)).select(*media.columns, *(f"_read.{x}" for x in fields))
+    return _with(media, of(column), fields)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    stored = store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stored = materialise(store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pjpeg-media", "zstd")
     return digests(stored).drop("media")
