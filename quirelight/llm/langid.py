@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, learnable, table
+from .common import bounded_samples, learnable, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -43,15 +43,23 @@ BLOCK = 32
 UND = "und"
 
 
+#: Letters of a word at most. Scripts without spaces run whole sentences together: such runs are cut, and every piece is labelled.
+PIECE = 40
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    found = WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= PIECE:
+        return found
+    return [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
 
 
 def features(word: str) -> list[int]:
     """Hashed features of a word, each kind with a seed of its own."""
     crc = zlib.crc32
-    w = word[:40]
-    b = f"^{w}$"
+    w, b = word, f"^{word}$"
     out = [crc(word.encode("utf-8", "surrogatepass"), 1)]
     out += [crc(w[:n].encode("utf-8", "surrogatepass"), 2) for n in (1, 2, 3) if n <= len(w)]
     out += [crc(w[-n:].encode("utf-8", "surrogatepass"), 3) for n in (1, 2, 3) if n <= len(w)]
@@ -297,12 +305,10 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Crf:
     """A field learned from up to rows learnable texts of each language."""
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    langs, found = sorted(counts), None
-    for lang in langs:
-        some = bounded_sample(known.where(F.col("lang") == lang), F.col("doc_id"), rows, counts[lang])
-        found = some if found is None else found.unionByName(some)
+    langs = sorted(counts)
     model = Crf(langs)
-    if found is not None:
+    if langs:
+        found = bounded_samples(known, F.col("doc_id"), "lang", rows, counts)
         got = found.toPandas().sort_values(["lang", "doc_id", "text"])
         lettered = lambda t: [w for w in words_of(t) if any(map(str.isalpha, w))]
         kept = [(t, langs.index(x)) for t, x in zip(got["text"], got["lang"]) if any(map(str.isalpha, t))]
