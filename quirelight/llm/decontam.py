@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialise, table
+from .common import ascii_lower, let, materialise, row_hash, table
 
 #: A word, as a pattern: no ASCII but letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,7 +86,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
     n_grams, n_items = grams.count(), items.count()
 
     # All documents once: words, fingerprints, and whether one of them is the benchmark's.
-    key = F.xxhash64("doc_id", "text").alias("key")
+    key = row_hash("doc_id", "text").alias("key")
     every = docs.select("doc_id", key, words(F.col("text")).alias("w"))
     every = every.select("doc_id", "key", F.col("w"), F.size("w").alias("n_words"))
     prints = every.select("doc_id", "key", "n_words", F.posexplode_outer(fingerprints(F.col("w"), lengths, k, window)).alias("pos", "h"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, table
+from .common import free_name, materialise, table, unlike
 
 #: Hash digits (hexadecimal) of a shuffle key.
 DIGITS = 13
@@ -46,8 +46,11 @@ def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[str], r
 def interleave(docs: DataFrame, shards: int = 16, stratum: str = "source", id_col: str = "doc_id", ties: tuple[str, ...] = (), seed: int = 11, rows_per_bucket: int = 16384) -> DataFrame:
     """docs with columns shard (int) and slot (long, gapless from 0 in each shard) added.
 
+    Input columns of these two names, in any letter case, are replaced; all others stay.
+
     ties: columns that order rows of equal ids. Give narrow rows where texts aren't needed: rows are shuffled twice.
     """
+    docs = docs.select(*(F.col(f"`{c}`") for c in unlike(docs.columns, ["shard", "slot"])))
     total = docs.count()
     bits = max(0, -(-total // rows_per_bucket) - 1).bit_length()
     s, key, rank, n, part, pos, rows = (free_name(docs, x) for x in ("_stratum", "_key", "_rank", "_rows", "_part", "_pos", "_total"))

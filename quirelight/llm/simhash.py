@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import free_name, materialise, row_hash
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -318,7 +318,7 @@ def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     Row hashes are broadcast up to ``broadcast_rows`` of them (8 bytes each), beyond that rows are joined by shuffle.
     """
     row = free_name(docs, "_row")
-    keyed = docs.withColumn(row, F.xxhash64(*(F.col(c) for c in docs.columns)))
+    keyed = docs.withColumn(row, row_hash(*docs.columns))
     rows = materialise(keyed.groupBy(row).agg(F.min(id_col).alias("id"), F.count("*").alias("copies")), "simhash-rows")
     texts = keyed.select(F.col(row).alias("row"), F.col(text).alias("text"))
     links, members = similar_links(texts, similarity)

@@ -212,8 +212,8 @@ def trained(texts: list[str | None], labels: list[int], langs: list[str | None],
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, target: str = "toxic") -> tuple[pd.DataFrame, float | None]:
-    """Up to rows learnable texts of each class, by hash of the id, and the true share of label 1."""
-    known = labels.where(learnable(F.col("doc_id")) & F.col(target).isin(0, 1)).select("doc_id", F.col(target).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    """Up to rows learnable texts of each class, by hash of the id, and the true share of label 1. An id labelled both ways counts as 1."""
+    known = labels.where(learnable(F.col("doc_id")) & F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("label"))
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     by_hash = [bounded_sample(known.where(F.col("label") == v), F.col("doc_id"), rows, counts.get(v, 0)) for v in (0, 1)]
     few = F.broadcast(by_hash[0].unionByName(by_hash[1]))

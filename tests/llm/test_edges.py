@@ -48,6 +48,8 @@ def test_interleave_matches_the_mixture_and_keeps_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, _rank long")
     got = interleave.interleave(df, shards=10, rows_per_bucket=64).collect()
     assert {(r.doc_id, r.source, r._rank) for r in got} == set(rows)
+    old = interleave.interleave(df.withColumnRenamed("_rank", "SHARD"), shards=10, rows_per_bucket=64)
+    assert sorted(old.columns) == ["doc_id", "shard", "slot", "source"] and old.count() == 2000
     for s in range(10):
         assert abs(sum(r.shard == s and r.source == "hot" for r in got) - sum(x[1] == "hot" for x in rows) / 10) <= 2
 
@@ -67,6 +69,11 @@ def test_mixing_meets_targets(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() <= len(ROWS)
     assert {r.doc_id for r in kept.collect()} >= {3}  # no tokens: kept
     assert mixing.mix(none).count() == 0
+    short = spark.createDataFrame([("a", "x", "t", 100, 0.0), ("b", "x", "t", 10, 10.0)], "source string, lang string, topic string, tokens long, weight double")
+    assert {r.source: r.p for r in mixing.calibrated(short, 0.5).collect()} == {"a": 0.0, "b": 1.0}  # all that has a weight, not nothing
+    named = docs.withColumn("source", mixing.F.when(docs.source == "a", "none").otherwise(docs.source))
+    names = {"source": "s", "lang": "l", "topic": "t", "tokens": "n"}
+    assert {r.source for r in mixing.cells_of(mixing.keyed(named, names), names).collect()} == {"=none", "=b", "=c", ""}
     clash = mixing.mix(docs.withColumnRenamed("n_chars", "_TOKENS"))
     assert "_TOKENS" in clash.columns and clash.count() == kept.count()
 
@@ -86,6 +93,7 @@ def test_chat_round_trip(spark):
 def test_chat_parts(spark):
     parts = [("text", "see <|", None, None), ("image", None, "i.png", 3), ("audio", None, "a.wav", None), ("weird", None, "d", 2), ("text", None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    assert chat.format_chats(df.limit(0)).count() == 0
     r = chat.format_chats(df).collect()[0]
     assert r.formatted == "<|im_start|>user\nsee <\\|" + "<|image_pad|>" * 3 + "<|audio_pad|>" * 128 + "<|document_pad|>" * 2 + "<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [tuple(a) for a in r.attachments] == [(0, 1, "image", "i.png", 3), (0, 2, "audio", "a.wav", 128), (0, 3, "document", "d", 2)]
@@ -164,12 +172,65 @@ def test_html_text():
     assert html.Page("<div>" * 3000 + "x").text() == "x"
 
 
-def test_html_templates(spark):
-    rows = [(i, f"http://h/{i}", f"<body><div>Site name</div><p>Story {i} with words</p><div><a>About</a></div></body>") for i in range(12)]
-    rows += [(100 + i, "http://copies/x", "<body><p>The same page</p><div>Same end</div></body>") for i in range(12)] + [(200, None, None), (200, None, None)]
-    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == f"Story {i} with words" for i in range(12))
-    assert all(got[100 + i] == "The same page\nSame end" for i in range(12)) and got[200] == ""
+def site(rng, host, n, section):
+    """Pages of a host with templates outside and inside of articles, a passage that many articles share, and the text wanted."""
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randrange(1000))
+    top, box, shared = "Site " + word(), "Written for " + host + " " + word(), "Shared passage " + word()
+    out = []
+    for i in range(n):
+        story = [" ".join(word() for _ in range(rng.randint(3, 12))) for _ in range(rng.randint(9, 12))]
+        story.insert(rng.randint(4, len(story) - 4), shared)
+        paras = "".join(f"<p>{x}</p>" for x in story)
+        if section == "article":
+            html_ = f"<body><div>{top}</div><article>{paras}<div class='x'><p>{box}</p><p>and more</p></div></article></body>"
+        elif section == "main":
+            html_ = f"<body><main><div>{box}</div>{paras}</main><div>{top}</div></body>"
+        else:
+            paras = paras.replace(f"<p>{shared}</p>", "")
+            story.remove(shared)
+            html_ = f"<body><div><span>{top}</span></div>{paras}<ul><li>{box}</ul></body>"
+        out.append((f"http://{host}/{i}", html_, "\n".join(story)))
+    return out
+
+
+def test_html_templates_of_random_sites(spark):
+    """Templates are found by their recurrence alone, in and outside of articles; a passage that articles share stays."""
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(8)
+    made = [x for host, n, section in (("a.example", 30, "article"), ("m.example", 12, "main"), ("b.example", 20, "body"), ("few.example", 5, "article"), ("two.example", 2, "body")) for x in site(rng, host, n, section)]
+    rows = [(i, url, page) for i, (url, page, _) in enumerate(made)]
+    rows += rows[:3] + [(900 + i, "http://copies/x", "<body><p>The same page</p><div>Same end</div></body>") for i in range(12)] + [(999, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.main_text(df).collect()
+    assert len(got) == len(rows)
+    texts = {r.page_id: r.text for r in got}
+    assert html.Page(made[0][1]).text() != made[0][2]  # a page alone keeps its templates
+    for i, (url, _, want) in enumerate(made):
+        if "two.example" not in url:
+            assert texts[i] == want, url
+    assert all(texts[900 + i] == "The same page\nSame end" for i in range(12)) and texts[999] == ""
+    pages, seen = defaultdict(set), defaultdict(Counter)
+    for url, page in {(url, page) for _, url, page in rows if url}:
+        host, p = url.split("/")[2], html.Page(page)
+        if p.identity() not in pages[host]:
+            pages[host].add(p.identity())
+            seen[host].update(set(p.keys()))
+    want = {h: sorted(k for k, c in keys.items() if c >= max(3, min(8, 0.6 * len(pages[h]))) and c >= (0.02 if k % 2 else 0.5) * len(pages[h])) for h, keys in seen.items()}
+    found = html.templates(df.select(html.host_of(df.url).alias("host"), "html")).collect()
+    assert {r.host: list(r.templates) for r in found} == {h: t for h, t in want.items() if t}
+    assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_html_class_names_and_hostile_pages():
+    import time
+
+    assert html.Page('<article><h2 class="section-header">Head</h2><p class="notice-of-theorem">a<ul class="tags-explained"><li>b</ul><div class="cookie-notice">c</div><div class="share-box">d</div>').text() == "Head\na\nb"
+    for piece in ("<div>", "<div>a", '<a "', "<li>", "<!", "<i><div><b></i>"):
+        start = time.time()
+        html.Page(piece * (200_000 // len(piece))).text()
+        assert time.time() - start < 4, piece
 
 
 def test_languages(spark, docs, none):
@@ -179,6 +240,8 @@ def test_languages(spark, docs, none):
     p = langid.Predictor(model)
     got = p.predict([de, en, None, "", "12 ²", de * 3000, en * 3 + de])
     assert [x for x, _ in got] == ["de", "en", "und", "und", "und", "de", "en"] and all(0 <= s <= 1 for _, s in got)
+    assert "".join(langid.words_of("Ab" * 5000)) == "ab" * 5000  # a run of letters is read to its end
+    assert max(map(len, langid.words_of("Ab" * 5000))) <= langid.PIECE
     assert docs.select(langid.identify(docs, model).alias("x")).count() == len(ROWS)
     empty = langid.fit(none.select("doc_id", "text", "lang"))
     assert langid.Predictor(empty).predict(["x", None]) == [("und", 0.0), ("und", 0.0)]
@@ -216,6 +279,8 @@ def test_toxicity_learns_stems(spark, docs, none):
     assert sum((got[i] >= 0.3) == bool(labels[i]) for i in held) >= 0.95 * len(held)
     edge = toxicity.score(docs, model).collect()
     assert len(edge) == len(ROWS) and all(0 <= r.score <= 1 for r in edge)
+    both, _ = toxicity.sample(d, y.unionByName(y.withColumn("toxic", 1 - y.toxic)))
+    assert set(both["label"]) == {1}  # labelled both ways
     assert toxicity.fit(d, y.limit(0)).constant == 0.0 and toxicity.score(none, model).count() == 0
 
 
@@ -224,6 +289,11 @@ def test_representatives(spark, docs, none):
     ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect())
     assert ids == [1, 2, 4, 5, 6] and kept.columns == docs.columns  # 2 stands for all texts without words
     assert simhash.representatives(none).count() == 0
+    text = " ".join(f"w{i}" for i in range(40))
+    twins = spark.createDataFrame([(7, text, "en", None), (8, text + " x", None, "en")], "doc_id long, text string, lang string, _row string")
+    assert [r.doc_id for r in simhash.representatives(twins).collect()] == [7]
+    hashes = twins.withColumn("text", simhash.F.lit("t")).select(simhash.row_hash("lang", "_row").alias("h")).collect()
+    assert hashes[0].h != hashes[1].h
 
 
 def test_pipeline_stages_by_brute_force(spark, tmp_path):
@@ -255,6 +325,10 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     assert set(seen["mixing"]) <= set(seen["decontamination"]) and 20 < len(seen["mixing"]) < 100
     assert seen["sharding"] == seen["mixing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sharding"])
+    empty = f"{tmp_path}/empty"
+    spark.createDataFrame([], DOCS + ", _key string, _p long, _language string").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
 
 
 def test_jpeg_payloads(spark, docs, none):
@@ -265,3 +339,7 @@ def test_jpeg_payloads(spark, docs, none):
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
     assert got[0].feature == got[1].feature and len(got) == len(ROWS)
     assert pjpeg.digests(pjpeg.store(none.select("doc_id", "text"))).count() == 0
+    clash = pjpeg.store(docs.select("doc_id", "text", docs.lang.alias("MEDIA"), docs.source.alias("_made")))
+    assert clash.columns == ["doc_id", "text", "_made", "n_bytes", "media"]
+    for r in pjpeg.decode(clash.withColumn("rgb", clash.doc_id)).collect():
+        assert len(r.rgb) == r.height * r.width * 3 and r.height % 16 == r.width % 16 == 0

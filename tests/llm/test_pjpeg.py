@@ -105,7 +105,9 @@ def slowly(data):
 def payloads():
     rng = np.random.default_rng(3)
     make = lambda values, n: bytes(rng.choice(values, 64 * n).astype(np.uint8))
-    return [bytes(64), bytes([128]) * 64 * 9, make(range(256), 14), make([127, 128, 129], 40), make([128] * 60 + [129, 127, 200, 3], 70), "Größe é ".encode() * 64, make([128] * 30 + [126, 131], 7)]
+    plain = [bytes(64), bytes([128]) * 64 * 9, make(range(256), 14), make([127, 128, 129], 40), make([128] * 60 + [129, 127, 200, 3], 70), "Größe é ".encode() * 64, make([128] * 30 + [126, 131], 7)]
+    # As coefficients: these bytes less 128, whatever byte stands for each.
+    return plain + [pjpeg.BYTE_OF[np.frombuffer(p, np.uint8)].tobytes() for p in plain]
 
 
 @pytest.mark.parametrize("number", range(7))
