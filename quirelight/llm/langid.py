@@ -334,7 +334,8 @@ def identify(docs: DataFrame, model: Crf, text: str = "text"):
                 at = to
             yield pd.DataFrame(out, columns=["lang_pred", "lang_score"])
 
-    return of(docs[text])
+    # Not to be evaluated again for every place where its result is used, as the optimiser does with deterministic functions.
+    return of.asNondeterministic()(docs[text])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
