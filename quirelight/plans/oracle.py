@@ -313,7 +313,7 @@ SQL: dict[str, str] = {
     "page_modes": q(SHAPES, MODES, "SELECT volume_id, pos, mode, (sum(CASE WHEN mode IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY volume_id ORDER BY pos))::INT AS island FROM (SELECT *, lag(mode) OVER (PARTITION BY volume_id ORDER BY pos) AS before FROM modes WHERE nth > 0)").replace("WITH ", "WITH RECURSIVE ", 1),
     "page_regions": q(SHAPES, MODES, "SELECT volume_id, pos, CASE mode WHEN 'frontmatter' THEN 'front-matter' WHEN 'toc' THEN 'contents' ELSE 'main' END AS region FROM modes WHERE nth > 0").replace("WITH ", "WITH RECURSIVE ", 1),
     "merged_references": q(
-        "rf0 AS (SELECT volume_id, pos, ln, line, row_number() OVER (PARTITION BY volume_id ORDER BY pos, ln) AS i FROM page_lines WHERE pos <= 3)",
+        "rf0 AS (SELECT volume_id, pos, ln, line, row_number() OVER (PARTITION BY volume_id ORDER BY pos, ln) AS i FROM page_lines)",
         "rf1 AS (SELECT volume_id, pos, ln, i, trim(CASE WHEN i % 3 = 0 THEN '[' || (i // 3) || '] ' || line ELSE line END) AS s, i // 3 AS e FROM rf0 WHERE i >= 6)",
         "rf2 AS (SELECT *, row_number() OVER w AS k, lag(s) OVER w AS prev FROM rf1 WINDOW w AS (PARTITION BY volume_id, e ORDER BY i))",
         rf"rf3 AS (SELECT *, regexp_matches(prev, '\p{{L}}-$') AND regexp_matches(s, '^\p{{L}}') AND NOT regexp_matches(s, '{HARD}') AS glue FROM rf2)",

@@ -367,11 +367,11 @@ def translation_prepared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reflow_text(spark: SparkSession, d: str) -> DataFrame:
-    return Reflow(scan.pages(spark, d), similar_heads=False).text()
+    return Reflow(scan.pages(spark, d)).text()
 
 
 def reflow_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return Reflow(scan.pages(spark, d), similar_heads=False).markdown()
+    return Reflow(scan.pages(spark, d)).markdown()
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:

