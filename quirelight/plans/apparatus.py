@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
-from ..operators import doubt, evaluate, layout, notes, pagination, structure
+from ..operators import doubt, evaluate, layout, notes, pagination, report, structure
 from ..sources.pages import is_page_file
 from . import scan
 from .store import kept
@@ -411,3 +411,96 @@ def links_on_lines(spark: SparkSession, d: str) -> DataFrame:
     frags = pages.select(*PAGE, F.explode(words).alias("f")).select(*PAGE, "f.*", F.lit(91.0).alias("y0"), F.lit(102.0).alias("y1"), F.lit(100.0).alias("baseline"), F.lit(11.0).alias("size"), F.lit(400.0).alias("width"), F.lit(600.0).alias("height"))
     boxes = F.array(*(F.struct(F.lit(i).alias("link"), (F.col("pos") + 2 + i).cast("int").alias("target"), F.lit(x - 1).alias("lx0"), F.lit(90.0).alias("ly0"), F.lit(x + 41).alias("lx1"), F.lit(104.0).alias("ly1")) for i, x, _ in at))
     return layout.linked_lines(frags, pages.select(*PAGE, F.explode(boxes).alias("l")).select(*PAGE, "l.*"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+@registered(
+    """,
+t0 AS (SELECT volume_id, pos, CASE WHEN pos % 11 < 6 THEN pos % 11 + 1 WHEN pos % 11 = 8 THEN 3 ELSE 777 END AS n, CASE WHEN pos % 5 = 0 THEN 'printed-footer' ELSE 'printed-top' END AS source, CASE WHEN pos % 7 = 0 THEN 'year' ELSE 'unknown' END AS why FROM pg),
+tn AS (SELECT *, coalesce(n - lag(n) OVER (PARTITION BY volume_id ORDER BY pos) <> 1, true) AS fresh FROM t0 WHERE n <= 50),
+tr AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY volume_id ORDER BY pos) AS run FROM tn),
+tg AS (SELECT volume_id, run, count(*) AS size FROM tr GROUP BY ALL HAVING count(*) >= 2),
+tc AS (SELECT volume_id, run, row_number() OVER (PARTITION BY volume_id ORDER BY size DESC, run) AS k FROM tg),
+ch AS (SELECT volume_id, pos FROM tr JOIN tc USING (volume_id, run) WHERE k = 1),
+nt AS (SELECT volume_id, pos, pos % 9 + 1 AS num FROM pg WHERE pos % 4 = 0),
+fn AS (SELECT DISTINCT t0.volume_id, t0.pos FROM t0 JOIN nt ON nt.volume_id = t0.volume_id AND abs(nt.pos - t0.pos) <= 1 AND abs(nt.num - t0.n) <= 2 WHERE source = 'printed-footer')
+SELECT volume_id, pos::INT AS pos, n::VARCHAR AS label, source, CASE WHEN pos % 20 = 1 THEN 'contents-page' WHEN why <> 'unknown' THEN why WHEN (volume_id, pos) IN (SELECT (volume_id, pos) FROM fn) THEN 'footnote-number' WHEN (volume_id, pos) IN (SELECT (volume_id, pos) FROM ch) THEN 'chapter-number' ELSE 'unknown' END AS why FROM t0"""
+)
+def rejection_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why observations were turned down, by all rules."""
+    pages = kept(_pages(spark, d), "pages")
+    n = F.col("pos") % 11
+    label = F.when(n < 6, (n + 1).cast("string")).when(n == 8, "3").otherwise("777")
+    down = pages.select(*PAGE, label.alias("label"), F.when(F.col("pos") % 5 == 0, "printed-footer").otherwise("printed-top").alias("source"), F.when(F.col("pos") % 7 == 0, "year").otherwise("unknown").alias("why"))
+    modes = pages.select(*PAGE, F.when(F.col("pos") % 20 == 1, "toc").otherwise("body").alias("mode"))
+    return report.reasons(down, modes, pages.where("pos % 4 = 0").select(*PAGE, (F.col("pos") % 9 + 1).cast("int").alias("num")))
+
+
+@registered("SELECT volume_id, greatest(count(*) FILTER (pos % 2 = 0) - count(*) FILTER (pos % 3 = 0), 0) AS certain, count(*) FILTER (pos % 3 = 0) AS uncertain, count(*) FILTER (pos % 3 = 0 AND pos % 4 > 1) AS several FROM pg GROUP BY volume_id HAVING count(*) FILTER (pos % 2 = 0 OR pos % 3 = 0) > 0")
+def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Notes that are certain, in doubt, and in doubt with several candidates."""
+    pages = kept(_pages(spark, d), "pages")
+    return report.run_totals(pages.where("pos % 3 = 0").withColumn("n_candidates", F.col("pos") % 4), pages.where("pos % 2 = 0"))
+
+
+@registered(
+    """,
+al AS (SELECT volume_id, pos, CASE WHEN pos % 10 = 7 THEN -1 WHEN pos % 3 = 0 THEN pos % 12 + 1 ELSE pos % 40 + 1 END AS v, CASE WHEN pos % 10 = 7 THEN '??' WHEN pos % 3 = 0 THEN ['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x', 'xi', 'xii'][pos % 12 + 1] ELSE (pos % 40 + 1)::VARCHAR END AS label FROM pg)
+SELECT volume_id, label, pos::INT AS num, row_number() OVER (PARTITION BY volume_id ORDER BY v, pos)::INT AS place FROM al"""
+)
+def audit_places(spark: SparkSession, d: str) -> DataFrame:
+    """Doubts in the order of an audit: by the values of labels, arabic and roman."""
+    roman = F.array(*map(F.lit, "i ii iii iv v vi vii viii ix x xi xii".split()))
+    label = F.when(F.col("pos") % 10 == 7, "??").when(F.col("pos") % 3 == 0, F.get(roman, (F.col("pos") % 12).cast("int"))).otherwise((F.col("pos") % 40 + 1).cast("string"))
+    return report.audit_places(_pages(spark, d).select("volume_id", label.alias("label"), F.col("pos").alias("num")))
+
+
+@registered(
+    r""",
+fl AS (SELECT volume_id, pos, ln, trim(line) AS s FROM page_lines WHERE trim(line) <> '' AND ln % 4 > 0),
+fs AS (SELECT volume_id, pos, substr(arg_min(s, ln), 1, 60) AS s FROM fl GROUP BY ALL)
+SELECT volume_id, pos::INT AS pos, coalesce(s, '') AS sample FROM pg LEFT JOIN fs USING (volume_id, pos)"""
+)
+def page_samples(spark: SparkSession, d: str) -> DataFrame:
+    """A line of each page that a reader can search for; every fourth line is taken away."""
+    return report.samples(scan.page_lines(spark, d).where("ln % 4 > 0"), _pages(spark, d))
+
+
+@registered(
+    r""",
+fl AS (SELECT volume_id || '/' || pos AS volume_id, ln, trim(line) AS s FROM page_lines),
+fs AS (SELECT volume_id, arg_min(s, ln) FILTER (s <> '') AS s FROM fl GROUP BY ALL)
+SELECT volume_id, CASE WHEN length(s) <= 50 AND NOT regexp_matches(s, '^(.*?\S)[\s.]*\s([0-9]{1,4})$') AND regexp_matches(s, '\p{L}.*\p{L}') THEN s END AS heading FROM fs"""
+)
+def contents_headings(spark: SparkSession, d: str) -> DataFrame:
+    """What is printed above contents; each page is taken for the contents of a volume of its own."""
+    lines = kept(scan.page_lines(spark, d).withColumn("volume_id", F.concat_ws("/", "volume_id", "pos")), "contents")
+    return report.printed_heading(lines)
+
+
+@registered(
+    """,
+mk AS (SELECT volume_id, pos, i, CASE WHEN i < 2 THEN pos // 2 ELSE pos // 2 + 1 END AS label FROM pg, range(3) t(i)),
+mf AS (SELECT *, row_number() OVER (PARTITION BY volume_id, label ORDER BY pos, i) = 1 AND label % 3 = 0 AS anchor FROM mk)
+SELECT volume_id, pos::INT AS para, 'Begins ' || string_agg('[p. ' || label || ']' || CASE WHEN anchor THEN '{#p-' || label || '}' ELSE '' END, ' and ' ORDER BY i) || ' ends.' AS text FROM mf GROUP BY volume_id, pos"""
+)
+def anchored_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors behind the first marks of those pages that contents link to."""
+    pages = kept(_pages(spark, d), "pages")
+    low = F.floor(F.col("pos") / 2)
+    texts = pages.select("volume_id", F.col("pos").alias("para"), F.format_string("Begins [p. %d] and [p. %d] and [p. %d] ends.", low, low, low + 1).alias("text"))
+    labels = pages.select("volume_id", F.explode(F.array(low, low + 1)).alias("n")).where("n % 3 = 0").select("volume_id", F.col("n").cast("string").alias("label"))
+    return report.with_anchors(texts, labels)
+
+
+@registered(
+    """,
+rd AS (SELECT volume_id, pos, CASE WHEN pos % 5 = 0 THEN 7 ELSE pos // 2 END AS label FROM pg)
+SELECT volume_id, pos::INT AS pos, label::VARCHAR AS label FROM rd QUALIFY count(*) OVER (PARTITION BY volume_id, label) <= 2"""
+)
+def lasting_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings without the labels that keep coming back."""
+    pages = kept(_pages(spark, d), "pages")
+    return report.without_furniture(pages.select(*PAGE, F.when(F.col("pos") % 5 == 0, "7").otherwise(F.floor(F.col("pos") / 2).cast("string")).alias("label")))
