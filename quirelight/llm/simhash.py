@@ -223,12 +223,13 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
     corpus. What meets in a block is held to a Hamming distance of 64 bits first, then of all 2016 (three standard
     deviations beyond the expected one), then to the sets of shingles.
 
-    Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared by all bits to its
-    leader, the open node nearest to the majority of the bucket's bits (of copies with small changes, the original or one
-    like it); the rest is joined on further blocks within the bucket, and so on until no large bucket is left (a leader
-    leaves its bucket, so each step shrinks each bucket). A node that is linked is no
-    longer open: it needs no pair with others of the kind, but stays as long as an open node of the bucket may be near it
-    (by the triangle inequality over the distances to the leader).
+    Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared, by all bits and then
+    by their sets of shingles, to its leader, the open node nearest to the majority of the bucket's bits (of copies with
+    small changes, the original or one like it). A node that is linked to it is no longer open: it needs no pair with others
+    of the kind, but stays as long as an open node of the bucket may be near it (by the triangle inequality over the
+    distances to the leader). Where no more than ``bucket`` nodes are open, those are compared with all that stay, so that
+    no node meets more than ``bucket`` others; the rest is joined on further blocks within the bucket, and so on until no
+    such bucket is left (a leader leaves its bucket, so each step shrinks each bucket).
     """
 
     @F.pandas_udf("struct<fp: bigint, words: array<bigint>, keys: array<bigint>>")
@@ -251,64 +252,79 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
     apart = bits_apart(similarity)
     near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
     spread = (WIDE * apart * (1 - apart)) ** 0.5
-    near, sure = int(WIDE * apart + 3 * spread), int(WIDE * apart - 3 * spread)
+    near = int(WIDE * apart + 3 * spread)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= near64
 
+    @F.pandas_udf("array<bigint>")
+    def hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([shingle_hashes(t).view("<i8") for t in s], dtype=object)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Rows (node, set) of nodes (node): the hashes of the distinct shingles."""
+        of_nodes = docs.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
+        return of_nodes.dropDuplicates(["node"]).select("node", hashes("text").alias("set"))
+
+    def alike(a: str, b: str) -> Column:
+        common = F.size(F.array_intersect(a, b))
+        return common >= similarity * (F.size(a) + F.size(b) - common)
+
     def counted(keyed: DataFrame) -> DataFrame:
-        """Rows (key, node, fp, open, n) of keys that have several nodes, one of them open."""
-        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").drop("any")
+        """Rows (key, node, fp, open, n, opened) of keys that have several nodes, one of them open."""
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("opened")).where("n > 1 and opened > 0")
         return materialise(keyed.join(counts, "key"), "wide-blocks")
 
-    def paired(rows: DataFrame) -> DataFrame:
-        mate = rows.select("key", F.col("node").alias("v"), F.col("fp").alias("other"), F.col("open").alias("too"))
-        return rows.join(mate, "key").where("node < v and (open or too)").where(close).select(F.col("node").alias("u"), "v")
+    def paired(rows: DataFrame, most: int = 4096) -> DataFrame:
+        """Pairs (u, v) of the open nodes of each key with its others; the others are dealt over parts of about ``most``."""
+        parts = F.ceil(F.col("n") / most).cast("int")
+        mate = rows.select("key", F.pmod(F.hash("node"), parts).alias("part"), F.col("node").alias("v"), F.col("fp").alias("other"), F.col("open").alias("too"))
+        opened = rows.where("open").select("key", "node", "fp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        pairs = opened.join(mate, ["key", "part"]).where("node < v or (node > v and not too)").where(close)
+        return pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
 
-    def measured(pairs: DataFrame, wide: DataFrame) -> DataFrame:
-        """Rows (u, v, d) of pairs (u, v): the distance in all bits."""
-        both = pairs.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
-        distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return materialise(both.select("u", "v", distance.alias("d")), "wide-distances")
+    def bits_between(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
     open_ = counted(firsts.select("node", "fp", F.lit(True).alias("open"), F.explode("keys").alias("key")))
     found, linked = [], []
     for step in count():
-        found.append(paired(open_.where(F.col("n") <= bucket)))
-        large = open_.where(F.col("n") > bucket)
+        found.append(paired(open_.where(F.col("opened") <= bucket)))
+        large = open_.where(F.col("opened") > bucket)
         if large.isEmpty():
             break
         if step == 0:
-            hot = materialise(wide.join(large.select("node").distinct(), "node", "left_semi"), "wide-hot")
+            hot = materialise(wide.join(sets_of(large.select("node").distinct()), "node"), "wide-hot")
         bits = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
         middle = reduce(Column.bitwiseOR, (F.when(2 * F.col(f"b{i}") > F.col("size"), F.lit(_signed(1 << i))).otherwise(0) for i in range(64)))
         middle = large.where("open").groupBy("key").agg(F.count("*").alias("size"), *bits).select("key", middle.alias("middle"))
         from_middle = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-        lead = large.where("open").join(middle, "key").groupBy("key").agg(F.min_by(F.struct("node", "fp"), F.struct(from_middle, F.xxhash64("node"))).alias("lead"))
-        large = large.join(lead, "key").where("node <> lead.node").select("key", "node", "fp", "open", F.least("lead.node", "node").alias("u"), F.greatest("lead.node", "node").alias("v"))
+        lead = large.where("open").join(middle, "key").groupBy("key").agg(F.min_by("node", F.struct(from_middle, F.xxhash64("node"))).alias("lead"))
+        large = materialise(large.join(materialise(lead, "wide-leads"), "key").where("node <> lead").select("key", "node", "fp", "open", "lead"), "wide-large")
+        leaders = hot.join(large.select(F.col("lead").alias("node")).distinct(), "node", "left_semi")
+        leaders = materialise(leaders.select(F.col("node").alias("lead"), F.col("words").alias("b"), F.col("set").alias("of_lead")), "wide-leaders")
+        held = large.select("node", "lead").distinct().join(hot, "node").join(leaders, "lead")
+        held = held.select("node", "lead", "set", "of_lead", bits_between("words", "b").alias("d"))
+        held = materialise(held.select("node", "lead", "d", F.when(F.col("d") <= near, alike("set", "of_lead")).otherwise(False).alias("hit")), "wide-held")
+        linked.append(held.where("hit").select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")))
+        large = large.join(held, ["node", "lead"]).select("key", "node", "fp", "d", (F.col("open") & ~F.col("hit")).alias("open"))
         large = materialise(large, "wide-large")
-        distances = measured(large.select("u", "v").distinct(), hot)
-        linked.append(distances.where(F.col("d") <= near).select("u", "v"))
-        large = materialise(large.join(distances, ["u", "v"]).withColumn("open", F.col("open") & (F.col("d") > sure)), "wide-large")
-        ring = large.where("open").groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-        rest = large.join(ring, "key").where(F.col("open") | F.col("d").between(F.col("lo") - near, F.col("hi") + near)).select("key", "node", "fp", "open")
+        of_open = F.when(F.col("open"), F.col("d"))
+        ring = large.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("opened"), F.min(of_open).alias("lo"), F.max(of_open).alias("hi"))
+        rest = large.join(ring.where("opened > 0"), "key").where(F.col("open") | F.col("d").between(F.col("lo") - near, F.col("hi") + near))
+        rest = materialise(rest.select("key", "node", "fp", "open", "n", "opened"), "wide-rest")
+        found.append(paired(rest.where(F.col("opened") <= bucket)))
         place = [step * SUBTABLES + i for i in range(SUBTABLES)]
         bits = [F.shiftright(F.col("words")[n % WORDS], n // WORDS * SUBWIDTH % (64 - SUBWIDTH)).bitwiseAND(F.lit((1 << SUBWIDTH) - 1)) for n in place]
         sub = F.array(*(F.xxhash64("key", F.lit(i), x) for i, x in enumerate(bits)))
-        open_ = counted(rest.join(hot, "node").select("node", "fp", "open", F.explode(sub).alias("key")))
+        rest = rest.where(F.col("opened") > bucket).join(hot.select("node", "words"), "node")
+        open_ = counted(rest.select("node", "fp", "open", F.explode(sub).alias("key")))
     candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "wide-candidates")
-    near_ones = measured(candidates, wide).where(F.col("d") <= near).select("u", "v")
-    near_ones = materialise(reduce(DataFrame.unionByName, linked, near_ones).distinct(), "wide-near")
-
-    @F.pandas_udf("array<bigint>")
-    def hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([shingle_hashes(t).view("<i8") for t in s], dtype=object)
-
-    ends = near_ones.select("u").union(near_ones.select("v")).distinct().withColumnRenamed("u", "row")
-    sets = docs.select("row", "text").join(ends, "row", "left_semi").dropDuplicates(["row"]).select("row", hashes("text").alias("set"))
-    sets = materialise(sets, "wide-sets")
-    both = near_ones.join(sets.select(F.col("row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("b")), "v")
-    both = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
-    return both.where(F.col("common") >= similarity * (F.col("n") - F.col("common"))).select("u", "v"), members
+    both = candidates.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
+    near_ones = materialise(both.where(bits_between("a", "b") <= near).select("u", "v"), "wide-near")
+    sets = materialise(sets_of(near_ones.select(F.col("u").alias("node")).union(near_ones.select("v")).distinct()), "wide-sets")
+    both = near_ones.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    links = both.where(alike("a", "b")).select("u", "v")
+    return reduce(DataFrame.unionByName, linked, links), members
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
