@@ -225,11 +225,12 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
 
     Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared, by all bits and then
     by their sets of shingles, to its leader, the open node nearest to the majority of the bucket's bits (of copies with
-    small changes, the original or one like it). A node that is linked to it is no longer open: it needs no pair with others
-    of the kind, but stays as long as an open node of the bucket may be near it (by the triangle inequality over the
-    distances to the leader). Where no more than ``bucket`` nodes are open, those are compared with all that stay, so that
-    no node meets more than ``bucket`` others; the rest is joined on further blocks within the bucket, and so on until no
-    such bucket is left (a leader leaves its bucket, so each step shrinks each bucket).
+    small changes, the original or one like it). A node that links to leaders connect with its own is no longer open: it
+    needs no pair with others of the kind, but stays as long as an open node of the bucket may be near it (by the triangle
+    inequality over the distances to the leader). Where no more than ``bucket`` nodes are open, those are compared with all
+    that stay, so that no node meets more than ``bucket`` others; the rest is joined on further blocks within the bucket,
+    and so on until no such bucket is left (a leader leaves its bucket, so each step shrinks each bucket). Pairs are made
+    last, of nodes that links to leaders don't connect.
     """
 
     @F.pandas_udf("struct<fp: bigint, words: array<bigint>, keys: array<bigint>>")
@@ -275,20 +276,28 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
         return materialise(keyed.join(counts, "key"), "wide-blocks")
 
     def paired(rows: DataFrame, most: int = 4096) -> DataFrame:
-        """Pairs (u, v) of the open nodes of each key with its others; the others are dealt over parts of about ``most``."""
+        """Pairs (u, v), near by all bits, of the open nodes of each key with its others of another comp; the others are dealt over parts of about ``most``."""
+        rows = rows.join(wide, "node")
         parts = F.ceil(F.col("n") / most).cast("int")
-        mate = rows.select("key", F.pmod(F.hash("node"), parts).alias("part"), F.col("node").alias("v"), F.col("fp").alias("other"), F.col("open").alias("too"))
-        opened = rows.where("open").select("key", "node", "fp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        pairs = opened.join(mate, ["key", "part"]).where("node < v or (node > v and not too)").where(close)
+        mate = [F.col(x).alias(y) for x, y in (("node", "v"), ("fp", "other"), ("open", "too"), ("comp", "apart"), ("words", "others"))]
+        mate = rows.select("key", F.pmod(F.hash("node"), parts).alias("part"), *mate)
+        opened = rows.where("open").select("key", "node", "fp", "comp", "words", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        pairs = opened.join(mate, ["key", "part"]).where("comp <> apart and (node < v or not too)").where(close).where(bits_between("words", "others") <= near)
         return pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
 
+    def labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """rows with comp, the root that links to leaders give to the node."""
+        if roots is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
     def bits_between(a: str, b: str) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
     open_ = counted(firsts.select("node", "fp", F.lit(True).alias("open"), F.explode("keys").alias("key")))
-    found, linked = [], []
+    meeting, linked, roots = [], [], None
     for step in count():
-        found.append(paired(open_.where(F.col("opened") <= bucket)))
+        meeting.append(open_.where(F.col("opened") <= bucket).select("key", "node", "fp", "open", "n"))
         large = open_.where(F.col("opened") > bucket)
         if large.isEmpty():
             break
@@ -306,21 +315,23 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
         held = held.select("node", "lead", "set", "of_lead", bits_between("words", "b").alias("d"))
         held = materialise(held.select("node", "lead", "d", F.when(F.col("d") <= near, alike("set", "of_lead")).otherwise(False).alias("hit")), "wide-held")
         linked.append(held.where("hit").select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")))
-        large = large.join(held, ["node", "lead"]).select("key", "node", "fp", "d", (F.col("open") & ~F.col("hit")).alias("open"))
+        roots = materialise(components(reduce(DataFrame.unionByName, linked)), "wide-roots")
+        of_lead = labelled(leaders.select(F.col("lead").alias("node")), roots).select(F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
+        large = labelled(large.join(held, ["node", "lead"]), roots).join(of_lead, "lead")
+        large = large.select("key", "node", "fp", "d", (F.col("open") & (F.col("comp") != F.col("lead_comp"))).alias("open"))
         large = materialise(large, "wide-large")
         of_open = F.when(F.col("open"), F.col("d"))
         ring = large.groupBy("key").agg(F.count("*").alias("n"), F.count_if("open").alias("opened"), F.min(of_open).alias("lo"), F.max(of_open).alias("hi"))
         rest = large.join(ring.where("opened > 0"), "key").where(F.col("open") | F.col("d").between(F.col("lo") - near, F.col("hi") + near))
         rest = materialise(rest.select("key", "node", "fp", "open", "n", "opened"), "wide-rest")
-        found.append(paired(rest.where(F.col("opened") <= bucket)))
+        meeting.append(rest.where(F.col("opened") <= bucket).select("key", "node", "fp", "open", "n"))
         place = [step * SUBTABLES + i for i in range(SUBTABLES)]
         bits = [F.shiftright(F.col("words")[n % WORDS], n // WORDS * SUBWIDTH % (64 - SUBWIDTH)).bitwiseAND(F.lit((1 << SUBWIDTH) - 1)) for n in place]
         sub = F.array(*(F.xxhash64("key", F.lit(i), x) for i, x in enumerate(bits)))
         rest = rest.where(F.col("opened") > bucket).join(hot.select("node", "words"), "node")
         open_ = counted(rest.select("node", "fp", "open", F.explode(sub).alias("key")))
-    candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "wide-candidates")
-    both = candidates.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
-    near_ones = materialise(both.where(bits_between("a", "b") <= near).select("u", "v"), "wide-near")
+    near_ones = [paired(labelled(rows, roots)) for rows in meeting]
+    near_ones = materialise(reduce(DataFrame.unionByName, near_ones).distinct(), "wide-near")
     sets = materialise(sets_of(near_ones.select(F.col("u").alias("node")).union(near_ones.select("v")).distinct()), "wide-sets")
     both = near_ones.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     links = both.where(alike("a", "b")).select("u", "v")
