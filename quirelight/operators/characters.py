@@ -52,17 +52,18 @@ def resolved(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
 
 
 HEADING = r"(?i)^(?:[0-9]+(?:\.[0-9]+)*\.?\s+)?(references|bibliography|works cited|literature|literatur(?:verzeichnis)?|bibliographie|bibliografie)\s*:?\s*$"
-ENTRY = r"^\[[0-9]{1,3}\]\s"
 
 
-def merged_references(lines: DataFrame) -> DataFrame:
+def merged_references(lines: DataFrame, digits: int = 3) -> DataFrame:
     """lines (volume_id, pos, ln, line, size) with the entries of a reference list on one line each.
 
+    An entry begins with its number of up to ``digits`` digits in brackets.
+
     The list starts at the first entry within four lines after its heading. It ends at type larger by 12 % with no entry
     in the next 40 lines; other large type inside it (heads of pages) is left out of entries.
     """
     v = W.partitionBy("volume_id").orderBy("pos", "ln")
-    rows = lines.withColumn("entry", strip(F.col("line")).rlike(ENTRY)).withColumn("head", strip(F.col("line")).rlike(HEADING)).withColumn("at", F.row_number().over(v))
+    rows = lines.withColumn("entry", strip(F.col("line")).rlike(rf"^\[[0-9]{{1,{digits}}}\]\s")).withColumn("head", strip(F.col("line")).rlike(HEADING)).withColumn("at", F.row_number().over(v))
     near = F.max(F.when(F.col("head"), F.col("at"))).over(v.rowsBetween(-4, -1))
     rows = rows.withColumn("starts", F.col("entry") & near.isNotNull())
     rows = rows.withColumn("start", F.min(F.when(F.col("starts"), F.col("at"))).over(W.partitionBy("volume_id")))

@@ -57,3 +57,8 @@ def test_small_type_apart_from_the_notes(spark):
     roles = lambda **x: [r.role for r in layout.small_type_notes(lines, sizes, **x).orderBy("ln").collect()]
     assert roles() == ["body", "body", "body", "note", "body"]
     assert roles(apart=True) == ["body", "small", "body", "note", "body"]
+
+
+def test_references_beyond_999(differs):
+    got, want = differs("merged_references", [(1, "\n".join(f"line {i}" for i in range(3100)))])
+    assert got == want and len(got) > 1000
