@@ -229,8 +229,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
     needs no pair with others of the kind, but stays as long as an open node of the bucket may be near it (by the triangle
     inequality over the distances to the leader). Where no more than ``bucket`` nodes are open, those are compared with all
     that stay, so that no node meets more than ``bucket`` others; the rest is joined on further blocks within the bucket,
-    and so on until no such bucket is left (a leader leaves its bucket, so each step shrinks each bucket). Pairs are made
-    last, of nodes that links to leaders don't connect.
+    and so on until no such bucket is left (a leader leaves its bucket, so each step shrinks each bucket). Then each bucket's
+    nodes are compared to its smallest open one, and pairs are made last, of nodes that no link so far connects.
     """
 
     @F.pandas_udf("struct<fp: bigint, words: array<bigint>, keys: array<bigint>>")
@@ -330,11 +330,29 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
         sub = F.array(*(F.xxhash64("key", F.lit(i), x) for i, x in enumerate(bits)))
         rest = rest.where(F.col("opened") > bucket).join(hot.select("node", "words"), "node")
         open_ = counted(rest.select("node", "fp", "open", F.explode(sub).alias("key")))
-    near_ones = [paired(labelled(rows, roots)) for rows in meeting]
-    near_ones = materialise(reduce(DataFrame.unionByName, near_ones).distinct(), "wide-near")
-    sets = materialise(sets_of(near_ones.select(F.col("u").alias("node")).union(near_ones.select("v")).distinct()), "wide-sets")
-    both = near_ones.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    links = both.where(alike("a", "b")).select("u", "v")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) that are as similar by their sets of shingles."""
+        pairs = materialise(pairs.distinct(), "wide-near")
+        sets = materialise(sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), "wide-sets")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+        return materialise(both.where(alike("a", "b")).select("u", "v"), "wide-links")
+
+    def starred(rows: DataFrame) -> DataFrame:
+        """Pairs (u, v), near by all bits, of each key's smallest open node with its others of another comp: no more pairs than rows."""
+        hub = rows.where("open").groupBy("key").agg(F.min(F.struct("node", "fp", "comp")).alias("hub"))
+        pairs = rows.join(hub, "key").where("node <> hub.node and comp <> hub.comp").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= near64)
+        pairs = pairs.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+        a, b = (wide.select(F.col("node").alias(x), F.col("words").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        return pairs.join(a, "u").join(b, "v").where(bits_between("a", "b") <= near).select("u", "v")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of keys whose nodes links so far don't all connect."""
+        apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        return rows.join(apart.select("key"), "key", "left_semi")
+
+    linked.append(compared(reduce(DataFrame.unionByName, [starred(labelled(rows, roots)) for rows in meeting])))
+    roots = materialise(components(reduce(DataFrame.unionByName, linked)), "wide-roots")
+    links = compared(reduce(DataFrame.unionByName, [paired(mixed(labelled(rows, roots))) for rows in meeting]))
     return reduce(DataFrame.unionByName, linked, links), members
 
 

@@ -152,3 +152,24 @@ def test_links_are_held_to_shingle_sets(spark):
     alike = {(i, i + 1) for i in range(0, len(sets), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
     links, _ = similar_links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
     assert {(r.u, r.v) for r in links.collect()} == alike
+
+
+def test_small_blocks_of_near_copies_are_not_paired_out(spark, monkeypatch):
+    """Fifty copies with one change each: compared with one of them, not all with all, and all linked."""
+    from quirelight.llm import simhash
+
+    rng, seen = random.Random(17), []
+    base = [f"v{rng.randrange(10**9)}" for _ in range(300)]
+    texts = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in rng.sample(range(10, 290), 50)]
+    real = simhash.materialise
+
+    def counting(df, tag, *rest):
+        out = real(df, tag, *rest)
+        if tag == "wide-near":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counting)
+    links, _ = simhash.similar_links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    assert len({r.root for r in components(links).collect()}) == 1 and components(links).count() == 50
+    assert sum(seen) < 50 * 10
