@@ -178,7 +178,7 @@ def bits_apart(similarity: float) -> float:
 
 
 #: Blocks that fingerprints are joined on: so many tables, and in each so many bits of the fingerprint and so many minima of shingle hashes.
-TABLES, BITS, MINIMA = 42, 8, 3
+TABLES, BITS, MINIMA = 24, 2, 5
 
 
 def block_recall(similarity: float, tables: int = TABLES, bits: int = BITS, minima: int = MINIMA) -> float:
@@ -211,9 +211,16 @@ def block_keys(h: np.ndarray, wide: bytes) -> np.ndarray:
 
 #: Blocks of further bits that the rest of a large bucket is joined on.
 SUBTABLES, SUBWIDTH = 12, 10
+#: Narrow rows (ids, at most two a row) that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) -> tuple[DataFrame, DataFrame]:
+def lightly(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A kept table of narrow rows, to be broadcast if it has no more than ``most``: what it is joined to then stays where it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 512) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) between nodes whose sets of word shingles are as similar or more, and membership (row, node).
 
     docs: row (long) and text. A node is a distinct wide fingerprint, named by its smallest row. Nodes are joined on blocks:
@@ -223,7 +230,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
     corpus. What meets in a block is held to a Hamming distance of 64 bits first, then of all 2016 (three standard
     deviations beyond the expected one), then to the sets of shingles.
 
-    Buckets of more than ``bucket`` nodes are never paired out. All nodes of such a bucket are compared, by all bits and then
+    Buckets of more than ``bucket`` open nodes are never paired out. All nodes of such a bucket are compared, by all bits and then
     by their sets of shingles, to its leader, the open node nearest to the majority of the bucket's bits (of copies with
     small changes, the original or one like it). A node that links to leaders connect with its own is no longer open: it
     needs no pair with others of the kind, but stays as long as an open node of the bucket may be near it (by the triangle
@@ -243,12 +250,15 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
                 rows.append((fp, np.frombuffer(wide + bytes(-len(wide) % 8), "<i8"), block_keys(h, wide)))
             yield pd.DataFrame(rows, columns=["fp", "words", "keys"])
 
-    made = docs.select("row", of("text").alias("x")).select("row", "x.fp", "x.words", "x.keys", F.xxhash64("x.words").alias("hash"))
+    made = docs.select("row", of("text").alias("x"))
+    made = made.select("row", F.monotonically_increasing_id().alias("at"), "x.fp", "x.words", "x.keys", F.xxhash64("x.words").alias("hash"))
     made = materialise(made, "wide-fingerprints")
-    nodes = materialise(made.groupBy("fp", "hash").agg(F.min("row").alias("node")), "wide-nodes")
-    members = made.select("row", "fp", "hash").join(nodes, ["fp", "hash"]).select("row", "node")
-    firsts = made.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").dropDuplicates(["row"])
-    firsts = materialise(firsts.select(F.col("row").alias("node"), "fp", "words", "keys"), "wide-firsts")
+    nodes = materialise(made.groupBy("fp", "hash").agg(F.min("row").alias("node"), F.min_by("at", "row").alias("first")), "wide-nodes")
+    members = made.select("row", "at", "fp", "hash").join(nodes, ["fp", "hash"])
+    members = materialise(members.select("row", "at", "node", "first"), "wide-members")
+    copies = materialise(members.where("at <> first").select("at"), "wide-copies")
+    firsts = made.join(lightly(copies), "at", "left_anti").select(F.col("row").alias("node"), "fp", "words", "keys")
+    members = members.select("row", "node")
     wide = firsts.select("node", "words")
     apart = bits_apart(similarity)
     near64 = int(64 * apart + 3 * (64 * apart * (1 - apart)) ** 0.5)
@@ -262,8 +272,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
             yield pd.Series([shingle_hashes(t).view("<i8") for t in s], dtype=object)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        """Rows (node, set) of nodes (node): the hashes of the distinct shingles."""
-        of_nodes = docs.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
+        """Rows (node, set) of the kept nodes (node): the hashes of the distinct shingles."""
+        of_nodes = docs.select(F.col("row").alias("node"), "text").join(lightly(nodes), "node", "left_semi")
         return of_nodes.dropDuplicates(["node"]).select("node", hashes("text").alias("set"))
 
     def alike(a: str, b: str) -> Column:
@@ -277,7 +287,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
 
     def paired(rows: DataFrame, most: int = 4096) -> DataFrame:
         """Pairs (u, v), near by all bits, of the open nodes of each key with its others of another comp; the others are dealt over parts of about ``most``."""
-        rows = rows.join(wide, "node")
+        rows = rows.join(wide.join(lightly(materialise(rows.select("node").distinct(), "wide-wanted")), "node", "left_semi"), "node")
         parts = F.ceil(F.col("n") / most).cast("int")
         mate = [F.col(x).alias(y) for x, y in (("node", "v"), ("fp", "other"), ("open", "too"), ("comp", "apart"), ("words", "others"))]
         mate = rows.select("key", F.pmod(F.hash("node"), parts).alias("part"), *mate)
@@ -289,7 +299,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
         """rows with comp, the root that links to leaders give to the node."""
         if roots is None:
             return rows.withColumn("comp", F.col("node"))
-        return rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return rows.join(lightly(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
     def bits_between(a: str, b: str) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -302,7 +312,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
         if large.isEmpty():
             break
         if step == 0:
-            hot = materialise(wide.join(sets_of(large.select("node").distinct()), "node"), "wide-hot")
+            of_large = materialise(large.select("node").distinct(), "wide-wanted")
+            hot = materialise(wide.join(lightly(of_large), "node", "left_semi").join(sets_of(of_large), "node"), "wide-hot")
         bits = [F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
         middle = reduce(Column.bitwiseOR, (F.when(2 * F.col(f"b{i}") > F.col("size"), F.lit(_signed(1 << i))).otherwise(0) for i in range(64)))
         middle = large.where("open").groupBy("key").agg(F.count("*").alias("size"), *bits).select("key", middle.alias("middle"))
@@ -330,19 +341,23 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
         sub = F.array(*(F.xxhash64("key", F.lit(i), x) for i, x in enumerate(bits)))
         rest = rest.where(F.col("opened") > bucket).join(hot.select("node", "words"), "node")
         open_ = counted(rest.select("node", "fp", "open", F.explode(sub).alias("key")))
+
     def compared(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that are as similar by their sets of shingles."""
-        pairs = materialise(pairs.distinct(), "wide-near")
-        sets = materialise(sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), "wide-sets")
+        """Those of the kept pairs (u, v) that are as similar by their sets of shingles."""
+        sets = materialise(sets_of(materialise(ends(pairs), "wide-wanted")), "wide-sets")
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
         return materialise(both.where(alike("a", "b")).select("u", "v"), "wide-links")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
     def starred(rows: DataFrame) -> DataFrame:
         """Pairs (u, v), near by all bits, of each key's smallest open node with its others of another comp: no more pairs than rows."""
-        hub = rows.where("open").groupBy("key").agg(F.min(F.struct("node", "fp", "comp")).alias("hub"))
-        pairs = rows.join(hub, "key").where("node <> hub.node and comp <> hub.comp").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= near64)
-        pairs = pairs.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
-        a, b = (wide.select(F.col("node").alias(x), F.col("words").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        hub = rows.where("open").groupBy("key").agg(F.min("node").alias("hub"), F.min_by("fp", "node").alias("hub_fp"), F.min_by("comp", "node").alias("hub_comp"))
+        pairs = rows.join(hub, "key").where("node <> hub and comp <> hub_comp").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= near64)
+        pairs = materialise(pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "wide-pairs")
+        wanted = wide.join(lightly(materialise(ends(pairs), "wide-wanted")), "node", "left_semi")
+        a, b = (wanted.select(F.col("node").alias(x), F.col("words").alias(y)) for x, y in (("u", "a"), ("v", "b")))
         return pairs.join(a, "u").join(b, "v").where(bits_between("a", "b") <= near).select("u", "v")
 
     def mixed(rows: DataFrame) -> DataFrame:
@@ -350,9 +365,11 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, bucket: int = 64) ->
         apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         return rows.join(apart.select("key"), "key", "left_semi")
 
-    linked.append(compared(reduce(DataFrame.unionByName, [starred(labelled(rows, roots)) for rows in meeting])))
+    met = materialise(reduce(DataFrame.unionByName, meeting), "wide-meeting") if len(meeting) > 1 else meeting[0]
+    linked.append(compared(materialise(starred(labelled(met, roots)), "wide-near")))
     roots = materialise(components(reduce(DataFrame.unionByName, linked)), "wide-roots")
-    links = compared(reduce(DataFrame.unionByName, [paired(mixed(labelled(rows, roots))) for rows in meeting]))
+    left = materialise(mixed(labelled(met, roots)), "wide-mixed")
+    links = compared(materialise(paired(left).distinct(), "wide-near"))
     return reduce(DataFrame.unionByName, linked, links), members
 
 

@@ -173,3 +173,38 @@ def test_small_blocks_of_near_copies_are_not_paired_out(spark, monkeypatch):
     links, _ = simhash.similar_links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
     assert len({r.root for r in components(links).collect()}) == 1 and components(links).count() == 50
     assert sum(seen) < 50 * 10
+
+
+def test_few_nodes_are_compared_without_moving_all_texts(spark, monkeypatch):
+    """Blocks, sets and links of a table in which few texts have near copies: what is shuffled is narrow, and blocks below the bound aren't split."""
+    from quirelight.llm import simhash
+
+    rng, tags = random.Random(19), {}
+    texts = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(60)) for _ in range(40)]
+    texts += half_similar(23, 100, 1, 60)
+    real = simhash.materialise
+
+    def noting(df, tag, *rest):
+        if tag in ("wide-sets", "wide-blocks"):
+            tags.setdefault(tag, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, tag, *rest)
+
+    monkeypatch.setattr(simhash, "materialise", noting)
+    simhash.similar_links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    assert len(tags["wide-blocks"]) == 1 and tags["wide-sets"]
+    assert all("broadcast" in plan for plan in tags["wide-sets"])
+
+
+def test_large_blocks_by_leaders(spark):
+    """The steps of blocks beyond the bound, against all pairs; repeated rows and copies are nodes once."""
+    from quirelight.llm.simhash import similar_links
+
+    texts = half_similar(29, 90, 1)
+    sets = [shingles(t) for t in texts]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = [*enumerate(texts), (0, texts[0]), (0, texts[0]), (1000, texts[1]), (1001, texts[1])]
+    links, members = similar_links(spark.createDataFrame(rows, "row long, text string"), bucket=16)
+    root = {r.node: r.root for r in components(links).collect()}
+    assert sum(root.get(i, i) == root.get(j, j) for i, j in alike) >= 0.99 * len(alike)
+    of = {r.row: r.node for r in members.collect()}
+    assert of[0] == 0 and of[1000] == of[1001] == of[1] == 1 and len(set(of.values())) == len(texts)
